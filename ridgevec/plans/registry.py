@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from ridgevec.plans import problems
+from ridgevec.plans import core, problems
 
 
 def queries() -> dict:
-    return {**problems.QUERIES}
+    return {**core.QUERIES, **problems.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**problems.SQL}
+    return {**core.SQL, **problems.SQL}
