@@ -39,6 +39,8 @@ REPEATS, REACH, DENSE, CASE = 3, 8, 0.3, 0.5
 ENTRY_WORDS, RUN = 8, 5
 
 WORD = re.compile(r"[^\W_]+")
+#: What every link has, for a quick look.
+LINKISH = re.compile(r"://|www\.|<a\b|\]\(|#\w|\.[a-z]{2,12}/", re.I)
 LINK = re.compile(r"<a\b[^>]*>[^<]*</a>|\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,12}/\S*|\B#\w+", re.I)
 PIECE = re.compile(r"[\n|»›•·*;,/\t]+| [-–—] ")
 ENTRY = re.compile(r"[\n|»›•·]+")
@@ -46,30 +48,29 @@ ENDS = (".", "!", "?", ":", "…")
 MIX = 0x9E3779B97F4A7C15
 
 
-class Words:
-    """Words of a text with 64-bit hashes that agree between processes."""
+class Hashes(dict):
+    """64-bit word hashes that agree between processes, made when missing."""
 
     def __init__(self):
         import xxhash
 
+        super().__init__()
         self.digest = xxhash.xxh3_64_intdigest
-        self.known: dict[str, int] = {}
-
-    def of(self, text: str):
-        starts, hashes = [], []
-        words = []
-        known = self.known
-        if len(known) > 1_000_000:
-            known.clear()
-        for m in WORD.finditer(text):
-            w = m.group().lower()
-            h = known.get(w)
-            if h is None:
-                h = known[w] = self.digest(w)
-            words.append(w)
-            starts.append(m.start())
-            hashes.append(h)
-        return words, np.array(starts, np.int64), np.array(hashes, np.uint64)
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        h = self[word] = self.digest(word)
+        return h
+
+
+class Words:
+    def __init__(self):
+        self.known = Hashes()
+
+    def of(self, text: str) -> tuple[list[str], np.ndarray]:
+        words = [w.lower() for w in WORD.findall(text)]
+        return words, np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
 
 def pairs(h: np.ndarray) -> np.ndarray:
@@ -86,7 +87,7 @@ def _count(batches):
         for text in b.column(0).to_pylist():
             if not text:
                 continue
-            _, _, h = reader.of(text)
+            _, h = reader.of(text)
             single.append(np.unique(h))
             double.append(np.unique(pairs(h)))
         for pair, part in ((False, single), (True, double)):
@@ -137,6 +138,11 @@ def statistics(documents: DataFrame, rare: float = RARE) -> Statistics:
     return Statistics(docs, least, h[w], c[w], h[q], c[q])
 
 
+def _in_spans(starts: np.ndarray, spans) -> np.ndarray:
+    """Index of the span each word starts in."""
+    return np.minimum(np.searchsorted(np.array([e for _, e in spans]), starts, side="right"), len(spans) - 1)
+
+
 def _spans(text: str, cut: re.Pattern):
     at, spans = 0, []
     for m in cut.finditer(text):
@@ -146,38 +152,53 @@ def _spans(text: str, cut: re.Pattern):
     return spans
 
 
-def _in_spans(starts: np.ndarray, spans) -> np.ndarray:
-    """Index of the span each word starts in."""
-    return np.searchsorted(np.array([e for _, e in spans]), starts, side="right")
+def _repeated(text: str):
+    """Pieces that come back and don't end like a sentence, and their spans."""
+    pieces = PIECE.split(text)
+    if len(pieces) < REPEATS:
+        return None
+    keys = [k.strip().lower() for k in pieces]
+    often = {k for k, c in Counter(keys).items() if c >= REPEATS and k and len(k) < 60 and not k.endswith(ENDS[:3])}
+    return np.array([k in often for k in keys]) if often else None
 
 
-def list_entries(text: str, starts: np.ndarray) -> np.ndarray:
-    """Words of entries: pieces that come back, or long runs of short pieces,
-    neither ending like a sentence. Pieces cut by line ends alone must begin
+def _listed(text: str):
+    """Long runs of short pieces. Pieces cut by line ends alone must begin
     like an entry, with a capital or a figure."""
-    out = np.zeros(len(starts), bool)
-    pieces = _spans(text, PIECE)
-    if len(pieces) >= REPEATS:
-        keys = [text[a:b].strip().lower() for a, b in pieces]
-        often = Counter(k for k in keys if k and not k.endswith(ENDS[:3]) and len(k) < 60)
-        again = np.array([often.get(k, 0) >= REPEATS for k in keys])
-        out |= again[np.minimum(_in_spans(starts, pieces), len(pieces) - 1)]
+    if len(ENTRY.findall(text)) < RUN - 1:
+        return None
     entries = _spans(text, ENTRY)
-    if len(entries) >= RUN:
-        listed, run = np.zeros(len(entries), bool), []
-        for i, (a, b) in enumerate([*entries, (0, 0)]):
-            piece = text[a:b].strip() if i < len(entries) else "."
-            if not piece:
-                continue
-            by_line = (a == 0 or text[a - 1] == "\n") and (b == len(text) or text[b] == "\n")
-            fits = not piece.endswith(ENDS) and len(WORD.findall(piece)) <= ENTRY_WORDS and not (by_line and piece[0].islower())
-            if fits and WORD.search(piece):
-                run.append(i)
-            elif not fits:
-                if len(run) >= RUN:
-                    listed[run] = True
-                run = []
-        out |= listed[np.minimum(_in_spans(starts, entries), len(entries) - 1)]
+    listed, run = np.zeros(len(entries), bool), []
+    for i, (a, b) in enumerate([*entries, (0, 0)]):
+        piece = text[a:b].strip() if i < len(entries) else "."
+        if not piece:
+            continue
+        by_line = (a == 0 or text[a - 1] == "\n") and (b == len(text) or text[b] == "\n")
+        fits = not piece.endswith(ENDS) and len(WORD.findall(piece)) <= ENTRY_WORDS and not (by_line and piece[0].islower())
+        if fits and WORD.search(piece):
+            run.append(i)
+        elif not fits:
+            if len(run) >= RUN:
+                listed[run] = True
+            run = []
+    return (entries, listed) if listed.any() else None
+
+
+def marks(text: str, n: int) -> np.ndarray | None:
+    """``(2, n)``: words inside links, and words of list entries; None where
+    there is neither."""
+    linked = [m.span() for m in LINK.finditer(text)] if LINKISH.search(text) else []
+    again, listed = _repeated(text), _listed(text)
+    if not linked and again is None and listed is None:
+        return None
+    starts = np.fromiter((m.start() for m in WORD.finditer(text)), np.int64, n)
+    out = np.zeros((2, n), bool)
+    for a, b in linked:
+        out[0, np.searchsorted(starts, a) : np.searchsorted(starts, b)] = True
+    if again is not None:
+        out[1] |= again[_in_spans(starts, _spans(text, PIECE))]
+    if listed is not None:
+        out[1] |= listed[1][_in_spans(starts, listed[0])]
     return out
 
 
@@ -186,20 +207,23 @@ def judge(text: str | None, reader: Words, stats: Statistics) -> tuple[float, fl
     neighbours (0 for fewer than two words)."""
     if not text:
         return 0.0, 0.0
-    words, starts, h = reader.of(text)
+    words, h = reader.of(text)
     n = len(words)
     if n < REPEATS:
         return 0.0, 0.0
     value = stats.pmi(h)
     padded = np.concatenate([[UNATTESTED], value, [UNATTESTED]])
-    unfit = np.maximum(padded[:-1], padded[1:]) < UNFIT
-    linked = np.zeros(n, bool)
-    for m in LINK.finditer(text):
-        linked[np.searchsorted(starts, m.start()) : np.searchsorted(starts, m.end())] = True
-    loose = unfit & ~linked
-    back = Counter(words[i] for i in np.flatnonzero(loose))
-    stuffed = np.array([bool(x) and back[w] >= REPEATS and len(w) > 1 for x, w in zip(loose, words)])
-    mark = linked | stuffed | list_entries(text, starts)
+    loose = np.maximum(padded[:-1], padded[1:]) < UNFIT
+    both = marks(text, n)
+    mark = np.zeros(n, bool)
+    if both is not None:
+        loose &= ~both[0]
+        mark = both[0] | both[1]
+    at = np.flatnonzero(loose)
+    back = Counter(words[i] for i in at)
+    mark[[i for i in at if back[words[i]] >= REPEATS and len(words[i]) > 1]] = True
+    if not mark.any():
+        return 0.0, float(value.mean())
     total = np.concatenate([[0], np.cumsum(mark)])
     at = np.arange(n)
     low, high = np.maximum(0, at - REACH), np.minimum(n, at + REACH + 1)
