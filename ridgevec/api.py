@@ -145,7 +145,7 @@ class VectorDB:
         self._flush()
         if self._index is None:
             raise RuntimeError("build_ivf first")
-        return ivf.search(self._lists, self._index, query, k, nprobe, schema=self.schema, **kw)
+        return ivf.search(self._lists, self._index, query, k, nprobe, schema=self.schema, stored_unit=self.metric == "cosine", **kw)
 
     def list_sizes(self) -> DataFrame:
         self._flush()

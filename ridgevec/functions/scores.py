@@ -66,20 +66,26 @@ def unit_query(q: np.ndarray) -> np.ndarray:
     return (q.astype(np.float64) * (1.0 / math.sqrt(ss if ss > 0 else TINY))).astype(np.float32)
 
 
-def literal(q: np.ndarray) -> Column:
-    return F.lit([float(x) for x in q]).cast("array<double>")
+def _literal(q: np.ndarray) -> str:
+    return "array(" + ", ".join(f"{x!r}D" if math.isfinite(x) else f"double('{x}')" for x in q.tolist()) + ")"
 
 
-def score(v: Column, query: np.ndarray, metric: str, stored_unit: bool = False) -> Column:
+def score(vec: str, query: np.ndarray, metric: str, stored_unit: bool = False) -> Column:
     """Score of a vector column against one query; with ``stored_unit`` the
-    column already holds unit vectors, as a store for cosine keeps them."""
+    column already holds unit vectors, as a store for cosine keeps them. Given
+    as text, which is parsed at once, as it is made anew for every search."""
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    if metric == "dot":
-        return dot(v, literal(query))
+    q = _literal(unit_query(query) if metric == "cosine" else query)
+    total = "aggregate(zip_with({v}, {q}, (x, y) -> {term}), 0D, (s, x) -> s + x)"
     if metric == "l2":
-        return negated_l2(v, literal(query))
-    return dot(v if stored_unit else unit(v), literal(unit_query(query)))
+        return F.expr("0D - " + total.format(v=vec, q=q, term="(cast(x as double) - y) * (cast(x as double) - y)"))
+    product = total.format(v="v" if metric == "cosine" and not stored_unit else vec, q=q, term="cast(x as double) * y")
+    if metric == "dot" or stored_unit:
+        return F.expr(product)
+    squares = f"aggregate({vec}, 0D, (s, x) -> s + cast(x as double) * cast(x as double))"
+    inverse = f"transform(array({squares}), n -> 1D / sqrt(if(n > 0, n, {TINY!r}D)))"
+    return F.expr(f"transform(transform({inverse}, i -> transform({vec}, x -> cast(cast(x as double) * i as float))), v -> {product})[0]")
 
 
 def finite(s: Column) -> Column:

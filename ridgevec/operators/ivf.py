@@ -86,7 +86,7 @@ def probes(index: IvfIndex, query: np.ndarray, nprobe: int) -> list[int]:
     return [int(i) for i in np.lexsort((np.arange(len(d)), d))[: max(0, min(nprobe, len(d)))]]
 
 
-def search(assigned: DataFrame, index: IvfIndex, query: Sequence[float], k: int, nprobe: int = 8, where: Mapping | None = None, schema: Mapping | None = None, threshold: float | None = None, max_candidates: int | None = None) -> DataFrame:
+def search(assigned: DataFrame, index: IvfIndex, query: Sequence[float], k: int, nprobe: int = 8, where: Mapping | None = None, schema: Mapping | None = None, threshold: float | None = None, max_candidates: int | None = None, stored_unit: bool = False) -> DataFrame:
     """Hits of the probed lists. A candidate cap, if given, holds after the
     filter and takes lists in order of nearness, ids ascending."""
     q = scores.query_vector(query, index.centroids.shape[1])
@@ -97,8 +97,8 @@ def search(assigned: DataFrame, index: IvfIndex, query: Sequence[float], k: int,
             rows, where = rows.where(compile_where(where, schema)), None
         order = F.array_position(F.array(*[F.lit(i) for i in lists]), F.col("list_id"))
         rows = rows.orderBy(order, "internal_id").limit(max_candidates)
-    hits = scored(rows, q, index.metric, where, schema, threshold).where("id IS NOT NULL")
-    return hits.select("id", "internal_id", "score").orderBy(F.desc("score"), "internal_id").limit(clamp(k))
+    hits = scored(rows, q, index.metric, where, schema, threshold, stored_unit)
+    return hits.orderBy(F.desc("score"), "internal_id").limit(clamp(k))
 
 
 def probed(index: IvfIndex, queries: DataFrame, nprobe: int) -> dict[int, list[int]]:

@@ -31,21 +31,23 @@ def clamp(k: int) -> int:
     return max(0, min(int(k), MOST))
 
 
-def scored(vectors: DataFrame, query: Sequence[float], metric: str, where: Mapping | None = None, schema: Mapping | None = None, threshold: float | None = None, stored_unit: bool = False, dim: int | None = None) -> DataFrame:
+def scored(vectors: DataFrame, query: Sequence[float], metric: str, where: Mapping | None = None, schema: Mapping | None = None, threshold: float | None = None, stored_unit: bool = False, dim: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """``(id, internal_id, *keep, score)`` of the rows with an external id and a
+    finite score. A vector of another length, or with a null element, has a
+    null score. Few DataFrame steps, as each is analysed when it is made."""
     q = scores.query_vector(query, dim)
-    rows = vectors.where(F.size("vec") == len(q))
-    if where:
-        rows = rows.where(compile_where(where, schema))
-    s = F.round(scores.score(F.col("vec"), q, metric, stored_unit), DIGITS)
-    out = rows.withColumn("score", s).where(scores.finite(F.col("score")))
-    return out if threshold is None else out.where(F.col("score") >= F.lit(float(threshold)))
+    rows = vectors.where(compile_where(where, schema)) if where else vectors
+    s = F.round(scores.score("vec", q, metric, stored_unit), DIGITS)
+    test = "id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) AND abs(score) < double('infinity')"
+    out = rows.select("id", "internal_id", *keep, s.alias("score"))
+    return out.where(test if threshold is None else f"{test} AND score >= {float(threshold)!r}D")
 
 
 def search(vectors: DataFrame, query: Sequence[float], k: int, metric: str = "cosine", where: Mapping | None = None, schema: Mapping | None = None, threshold: float | None = None, stored_unit: bool = False, keep: Sequence[str] = (), dim: int | None = None) -> DataFrame:
-    """Hits ``(id, internal_id, score, *keep)``; rows without an external id
-    are no hits, ``keep`` attaches metadata columns."""
-    hits = scored(vectors, query, metric, where, schema, threshold, stored_unit, dim).where("id IS NOT NULL")
-    return hits.select("id", "internal_id", "score", *keep).orderBy(F.desc("score"), "internal_id").limit(clamp(k))
+    """The best hits; rows without an external id are no hits, ``keep``
+    attaches metadata columns."""
+    hits = scored(vectors, query, metric, where, schema, threshold, stored_unit, dim, keep)
+    return hits.orderBy(F.desc("score"), "internal_id").limit(clamp(k))
 
 
 def get(vectors: DataFrame, external_id: str) -> DataFrame:
