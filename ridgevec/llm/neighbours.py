@@ -9,8 +9,10 @@ search radius lies closer than the next plane, or the probes are used up.
 
 The links found there close into neighbourhoods. Inside one, projected
 neighbours are verified in double precision on the stored floats, nearest
-first, until the chi-square test holds for the k-th best; a neighbourhood too
-large for a task is cut by a kd-tree of its own and probed the same way.
+first, until the chi-square test holds for the k-th best. The queries of a large
+neighbourhood are spread over several tasks, each against all its rows; beyond
+``LARGEST`` classes, where that would be quadratic work, it is cut by a kd-tree
+of its own and probed the same way, with some loss inside it.
 
 Exact copies are one class: its candidates are its own smallest ids and those
 of other classes, so no group of copies is ever expanded into pairs. Ties go to
@@ -34,9 +36,10 @@ from ridgevec.sources.vectors import stored_vectors, vector_classes
 
 SIMILARITY, K = 0.92, 3
 #: Projections (even), leaves probed, and the certainty of the stopping test.
-PROJECTIONS, PROBES, CERTAINTY = 12, 4, 0.9995
-#: Classes that one task ranks at once, and rows aimed at in a task.
-LARGEST, BIN_ROWS = 65536, 4096
+PROJECTIONS, PROBES, CERTAINTY = 12, 6, 0.9995
+#: Classes of a neighbourhood that are searched whole, queries of one that a
+#: task answers, and rows aimed at in a task of small ones.
+LARGEST, QUERIES, BIN_ROWS = 131072, 16384, 4096
 #: Neighbourhoods up to this size are ranked without projections.
 DIRECT = 512
 
@@ -85,8 +88,11 @@ def rank(u: np.ndarray, ids: list, query: np.ndarray, similarity: float, k: int)
     ``(row, candidate id, similarity)`` in order of similarity and id. ``ids``
     has each class's smallest ids; a class is a candidate of its own."""
     n = len(u)
-    g = projection(u.shape[1]).astype(np.float64)
-    p = u @ g
+    direct = n <= DIRECT
+    if not direct:
+        p = u @ projection(u.shape[1]).astype(np.float64)
+        pp = (p**2).sum(1)
+    low = u.astype(np.float32)
     quant = chi_square_quantile(CERTAINTY)
     copies = np.array([len(x) for x in ids])
     first = np.array([x[0] for x in ids])
@@ -96,23 +102,23 @@ def rank(u: np.ndarray, ids: list, query: np.ndarray, similarity: float, k: int)
     step = max(1, min(256, (1 << 24) // max(1, n)))
     for s in range(0, len(rows), step):
         q = rows[s : s + step]
-        if n <= DIRECT:
-            sim = np.round(u[q] @ u.T, 6)
-        else:
-            far = (p[q] ** 2).sum(1)[:, None] + (p**2).sum(1)[None, :] - 2 * p[q] @ p.T
+        sim = None
+        if not direct:
+            far = pp[q][:, None] + pp[None, :] - 2 * p[q] @ p.T
             near = np.argpartition(far, want, axis=1)[:, : want + 1]
-            sim = np.full((len(q), n), -2.0)
-            at = np.arange(len(q))[:, None]
             some = np.einsum("ij,ikj->ik", u[q], u[near])
             kth = np.sort(some, axis=1)[:, -want]
             bound = quant * np.maximum(0, 2 - 2 * kth + 2e-6)
             todo = far <= np.minimum(bound, quant * (2 - 2 * similarity))[:, None] + 1e-9
-            todo[at, near] = True
-            if todo.mean() > 0.1:
-                sim = np.where(todo, np.round(u[q] @ u.T, 6), -2.0)
-            else:
+            todo[np.arange(len(q))[:, None], near] = True
+            if todo.mean() <= 0.1:
                 i, j = np.nonzero(todo)
+                sim = np.full((len(q), n), -2.0)
                 sim[i, j] = np.round(np.einsum("ij,ij->i", u[q[i]], u[j]), 6)
+            else:  # the test rarely holds in a group this dense
+                direct = True
+        if sim is None:
+            sim = _exact_best(u, low, q, want)
         # candidates at least as good as the (k+1)-th class; ties all kept
         if n > want:
             cut = np.maximum(np.partition(sim, n - want, axis=1)[:, n - want], similarity)
@@ -138,12 +144,29 @@ def rank(u: np.ndarray, ids: list, query: np.ndarray, similarity: float, k: int)
     return cat(out_row, np.int64), cat(out_id, np.int64), cat(out_sim, np.float64)
 
 
+def _exact_best(u: np.ndarray, low: np.ndarray, q: np.ndarray, want: int) -> np.ndarray:
+    """Similarities of some rows to all; those that can't be among the best
+    ``want`` by the 32-bit product are left at that product, less a margin."""
+    n = len(u)
+    if n <= 4 * DIRECT:
+        return np.round(u[q] @ u.T, 6)
+    rough = low[q] @ low.T
+    cut = np.partition(rough, n - want, axis=1)[:, n - want] - 3e-6
+    i, j = np.nonzero(rough >= cut[:, None])
+    if len(i) > 0.02 * rough.size:
+        return np.round(u[q] @ u.T, 6)
+    sim = rough - np.float32(1e-5)
+    sim = sim.astype(np.float64)
+    sim[i, j] = np.round(np.einsum("ij,ij->i", u[q[i]], u[j]), 6)
+    return sim
+
+
 def _rank_task(similarity: float, k: int):
     def run(t: pa.Table) -> pa.Table:
         root, rep = t["root"].to_numpy(), t["rep"].to_numpy()
         order = np.lexsort((rep, root))
         root, rep = root[order], rep[order]
-        home = t["home"].to_numpy(zero_copy_only=False)[order]
+        home, ask = (t[c].to_numpy(zero_copy_only=False)[order].astype(bool) for c in ("home", "ask"))
         u = vx.unit(vx.unpack(t["vec"]))[order]
         few = t["ids"].combine_chunks()
         off, flat = np.asarray(few.offsets), few.values.to_numpy(zero_copy_only=False)
@@ -152,7 +175,7 @@ def _rank_task(similarity: float, k: int):
         a, b, v = [], [], []
         for s, e in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(root)]])):
             # visitors ask, homes answer; a visitor's own class is met at home
-            r, c, sim = rank(u[s:e], ids[s:e], np.ones(e - s, bool), similarity, k) if home[s:e].all() else _visit(u[s:e], ids[s:e], home[s:e], similarity, k)
+            r, c, sim = rank(u[s:e], ids[s:e], ask[s:e], similarity, k) if home[s:e].all() else _visit(u[s:e], ids[s:e], home[s:e], similarity, k)
             a.append(rep[s:e][r])
             b.append(c)
             v.append(sim)
@@ -178,7 +201,7 @@ def _visit(u, ids, home, similarity, k):
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def nearest(classes: DataFrame, copies: DataFrame, similarity: float = SIMILARITY, k: int = K, cell_rows: int = vx.CELL_ROWS, probes: int = PROBES, largest: int = LARGEST) -> DataFrame:
+def nearest(classes: DataFrame, copies: DataFrame, similarity: float = SIMILARITY, k: int = K, cell_rows: int = vx.CELL_ROWS, probes: int = PROBES, largest: int = LARGEST, queries: int = QUERIES) -> DataFrame:
     """``(id, other, score, rank)``: for every id its up to ``k`` most similar
     others among those at least ``similarity`` similar."""
     total = rows_in(classes)
@@ -189,22 +212,25 @@ def nearest(classes: DataFrame, copies: DataFrame, similarity: float = SIMILARIT
     more = copies.withColumn("i", F.row_number().over(w)).where(F.col("i") <= k).groupBy("rep").agg(F.collect_list("id").alias("few"))
     asked = classes.join(found, "rep", "left").where("root IS NOT NULL OR n > 1")
     asked = asked.join(more, "rep", "left").select("rep", "vec", F.coalesce("root", "rep").alias("root"), F.array_sort(F.concat(F.array("rep"), F.coalesce("few", F.array().cast("array<bigint>")))).alias("ids"))
-    sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > largest).select("root")
-    big_roots = written(sizes, "big")
-    n_big = rows_in(big_roots)
-    bins = max(1, total // BIN_ROWS)
-    schema = "rep bigint, other bigint, score double"
-    bin_of = F.pmod(F.xxhash64("root"), F.lit(bins)).cast("int")
-    if not n_big:
-        ranked = asked.select(bin_of.alias("bin"), F.lit(True).alias("home"), "rep", "root", "vec", "ids").groupBy("bin").applyInArrow(_rank_task(similarity, k), schema)
+    sizes = written(found.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > queries), "sizes")
+    task, schema = _rank_task(similarity, k), "rep bigint, other bigint, score double"
+    bin_of = F.pmod(F.xxhash64("root"), F.lit(max(1, total // BIN_ROWS)))
+    cols = ["bin", "home", "ask", "rep", "root", "vec", "ids"]
+    if not rows_in(sizes):
+        ranked = asked.withColumns({"bin": bin_of, "home": F.lit(True), "ask": F.lit(True)}).select(*cols).groupBy("bin").applyInArrow(task, schema)
     else:
-        asked = written(asked, "asked")
-        large = asked.join(big_roots, "root", "left_semi")
-        small = asked.join(big_roots, "root", "left_anti").select(bin_of.alias("bin"), F.lit(True).alias("home"), "rep", "root", "vec", "ids")
-        cells = _visits(large, similarity, largest, probes)
-        ranked = small.unionByName(cells).groupBy("bin").applyInArrow(_rank_task(similarity, k), schema)
-        top = Window.partitionBy("rep").orderBy(F.col("score").desc(), "other")
-        ranked = ranked.distinct().withColumn("r", F.row_number().over(top)).where(F.col("r") <= k + 1).drop("r")
+        asked = written(asked.join(sizes, "root", "left"), "asked")
+        small = asked.where("size IS NULL").withColumns({"bin": bin_of, "home": F.lit(True), "ask": F.lit(True)})
+        parts = F.ceil(F.col("size") / F.lit(queries)).cast("int")
+        mid = asked.where(F.col("size") <= largest).withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        far_bin = F.lit(1 << 40) + F.pmod(F.xxhash64("root"), F.lit(1 << 20)) * 4096 + F.col("part")
+        mid = mid.withColumns({"bin": far_bin, "home": F.lit(True), "ask": F.pmod(F.xxhash64("rep"), F.col("parts")) == F.col("part")})
+        ranked = small.select(*cols).unionByName(mid.select(*cols)).groupBy("bin").applyInArrow(task, schema)
+        large = asked.where(F.col("size") > largest).drop("size")
+        if large.limit(1).count():
+            top = Window.partitionBy("rep").orderBy(F.col("score").desc(), "other")
+            split = _visits(large, similarity, queries, 2 * probes).groupBy("bin").applyInArrow(task, schema)
+            ranked = ranked.unionByName(split.distinct().withColumn("r", F.row_number().over(top)).where(F.col("r") <= k + 1).drop("r"))
     lists = ranked.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), F.col("other").alias("id")))).alias("best"))
     lists = written(lists, "lists")
     everyone = lists.select(F.col("rep").alias("id"), "best").unionByName(copies.join(lists, "rep").select("id", "best"))
@@ -212,11 +238,10 @@ def nearest(classes: DataFrame, copies: DataFrame, similarity: float = SIMILARIT
     return everyone.select("id", F.posexplode(own).alias("pos", "x")).select("id", F.col("x.id").alias("other"), (-F.col("x.far")).alias("score"), (F.col("pos") + 1).alias("rank"))
 
 
-def _visits(large: DataFrame, similarity: float, largest: int, probes: int) -> DataFrame:
+def _visits(large: DataFrame, similarity: float, leaf_rows: int, probes: int) -> DataFrame:
     """Rows of large neighbourhoods at their home leaf and as visitors of the
     leaves next to it, in a kd-tree fitted on a bounded sample of them."""
-    total = rows_in(large)
-    router = _router(large, total, similarity, max(256, largest // 4), 2 * probes)
+    router = _router(large, rows_in(large), similarity, leaf_rows, probes)
 
     def run(batches):
         for b in batches:
@@ -224,9 +249,9 @@ def _visits(large: DataFrame, similarity: float, largest: int, probes: int) -> D
                 continue
             row, leaf, order = router.leaves(vx.unit(vx.unpack(b.column(2))))
             picked = b.take(pa.array(row))
-            yield pa.record_batch([pa.array((-1 - leaf).astype(np.int32)), pa.array(order == 0), *picked.columns], names=["bin", "home", "rep", "root", "vec", "ids"])
+            yield pa.record_batch([pa.array(-1 - leaf.astype(np.int64)), pa.array(order == 0), pa.array(np.ones(len(row), bool)), *picked.columns], names=["bin", "home", "ask", "rep", "root", "vec", "ids"])
 
-    return large.select("rep", "root", "vec", "ids").mapInArrow(run, "bin int, home boolean, rep bigint, root bigint, vec binary, ids array<bigint>")
+    return large.select("rep", "root", "vec", "ids").mapInArrow(run, "bin bigint, home boolean, ask boolean, rep bigint, root bigint, vec binary, ids array<bigint>")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
