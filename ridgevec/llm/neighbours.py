@@ -39,7 +39,7 @@ SIMILARITY, K = 0.92, 3
 PROJECTIONS, PROBES, CERTAINTY = 12, 6, 0.9995
 #: Classes of a neighbourhood that are searched whole, queries of one that a
 #: task answers, and rows aimed at in a task of small ones.
-LARGEST, QUERIES, BIN_ROWS = 131072, 16384, 4096
+LARGEST, QUERIES, BIN_ROWS = 200_000, 16_384, 4096
 #: Neighbourhoods up to this size are ranked without projections.
 DIRECT = 512
 
@@ -99,7 +99,7 @@ def rank(u: np.ndarray, ids: list, query: np.ndarray, similarity: float, k: int)
     want = k + 1
     out_row, out_id, out_sim = [], [], []
     rows = np.flatnonzero(query)
-    step = max(1, min(256, (1 << 24) // max(1, n)))
+    step = max(1, min(256, (1 << 23) // max(1, n)))
     for s in range(0, len(rows), step):
         q = rows[s : s + step]
         sim = None
@@ -167,7 +167,7 @@ def _rank_task(similarity: float, k: int):
         order = np.lexsort((rep, root))
         root, rep = root[order], rep[order]
         home, ask = (t[c].to_numpy(zero_copy_only=False)[order].astype(bool) for c in ("home", "ask"))
-        u = vx.unit(vx.unpack(t["vec"]))[order]
+        u = vx.unit(vx.unpack(t["vec"])[order])
         few = t["ids"].combine_chunks()
         off, flat = np.asarray(few.offsets), few.values.to_numpy(zero_copy_only=False)
         ids = [flat[off[i] : off[i + 1]] for i in order]

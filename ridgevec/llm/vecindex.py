@@ -50,8 +50,9 @@ def unit(x: np.ndarray) -> np.ndarray:
     """Rows over their norms in double precision; scaled first so that the
     squares of very large or small elements neither overflow nor vanish."""
     x = x.astype(np.float64)
-    x = x / np.abs(x).max(1, keepdims=True)
-    return x / np.sqrt((x * x).sum(1, keepdims=True))
+    x /= np.maximum(x.max(1), -x.min(1))[:, None]
+    x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    return x
 
 
 def encode(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
