@@ -10,6 +10,7 @@ on the same positions, so applying them again changes nothing.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,16 @@ def _file_and_row(df: DataFrame) -> tuple[Column, Column]:
     return F.xxhash64(meta["file_path"]), meta["row_index"]
 
 
+def on_files(df: DataFrame) -> DataFrame:
+    """The table as it is if it is read from files, which give each row a
+    position; any other one is written first."""
+    try:
+        df.select("_metadata.file_path", "_metadata.row_index")
+        return df
+    except AnalysisException:
+        return written(df, "positions")
+
+
 def base_images(id_maps: DataFrame, base: DataFrame) -> DataFrame:
     """Ids of the base snapshots: ``(db_name, id, seq, file, pos)``. A map row
     is a file of its own: position is the place in its array."""
@@ -86,7 +97,7 @@ def read_live(images: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def current_ids(journal: DataFrame, snapshots: DataFrame, id_maps: DataFrame, meta_states: DataFrame) -> DataFrame:
     """``(db_name, id, last_seq)`` of the ids live at the end."""
-    base = base_snapshots(snapshots)
+    journal, id_maps, base = on_files(journal), on_files(id_maps), base_snapshots(snapshots)
     entries = written(feed_entries(journal, base, last_sequences(meta_states)), "entries")
     images = base_images(id_maps, base).unionByName(entries.where("op = 'upsert'").drop("op"))
     deletes = entries.where("op = 'delete'")

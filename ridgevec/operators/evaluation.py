@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgevec.session import written
+
 
 def recall(exact: DataFrame, approx: DataFrame, k: int) -> DataFrame:
     """Per query, the part of the ``k`` exact hits that the other search has;
@@ -32,15 +34,21 @@ def _nth(n: Column, p: float, rule: str) -> Column:
 
 def percentiles(values: DataFrame, col: str, ps: Mapping[str, float], by: list[str] | None = None, rule: str = "floor_n_minus_1") -> DataFrame:
     """Exact elements of the sorted values at the ranks of a rule. Values are
-    folded to counts first and ranked by running sums over distinct values, so
-    a group is never gathered as a list. Nulls are left out."""
-    from pyspark.sql import Window
-
+    folded to counts, ranged over partitions in order, and ranked by running
+    sums within each partition plus what the partitions before it hold, so no
+    task sees a whole group. Nulls are left out."""
     by = by or []
+    keys = [*by, "_v"]
     counts = values.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    run = counts.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
-    run = run.withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
-    return run.groupBy(*by).agg(*[F.min(F.when(F.col("_upto") >= _nth(F.col("_n"), p, rule), F.col("_v"))).alias(name) for name, p in ps.items()])
+    placed = written(counts.repartitionByRange(*keys).withColumn("_p", F.spark_partition_id()), "ranks")
+    # a row for each group and partition it touches: partitions are few, and ranges of them are in order
+    steps = placed.groupBy(*by, "_p").agg(F.sum("_c").alias("_s"))
+    order = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    steps = steps.withColumns({"_base": F.sum("_s").over(order) - F.col("_s"), "_n": F.sum("_s").over(Window.partitionBy(*by))})
+    within = Window.partitionBy(*by, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    run = placed.withColumn("_run", F.sum("_c").over(within)).join(steps.drop("_s"), [*by, "_p"])
+    upto = F.col("_base") + F.col("_run")
+    return run.groupBy(*by).agg(*[F.min(F.when(upto >= _nth(F.col("_n"), p, rule), F.col("_v"))).alias(name) for name, p in ps.items()])
 
 
 #: Limits by figure; the suffix says which side fails (fixed values).

@@ -38,7 +38,16 @@ def written(df: DataFrame, tag: str = "t") -> DataFrame:
     path = f"{shared_dir(spark)}/ridgevec-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Removes a written table that nothing reads any more."""
+    path = getattr(df, "_written_at", None)
+    if path:
+        _remove(df.sparkSession, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -93,7 +93,10 @@ def feed(spark, tmp_path, journal, snaps, maps, meta):
         df = spark.createDataFrame(rows, schema).repartition(3)
         df.write.mode("overwrite").parquet(str(tmp_path / name))
         out.append(spark.read.parquet(str(tmp_path / name)))
-    return {tuple(r) for r in changefeed.current_ids(*out).collect()}
+    got = {tuple(r) for r in changefeed.current_ids(*out).collect()}
+    again = [df.union(df.limit(0)).cache() for df in out]  # positions unknown: written first
+    assert {tuple(r) for r in changefeed.current_ids(*again).collect()} == got
+    return got
 
 
 def brute(journal, snaps, maps, meta):
