@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgevec.session import written
+from ridgevec.session import forget, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -42,7 +42,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     edges = written(edges, "edges")
     before = _print(edges)
     for _ in range(max_rounds):
-        edges = written(_star(_star(edges, True), False), "edges")
+        old, edges = edges, written(_star(_star(edges, True), False), "edges")
+        forget(old)
         now = _print(edges)
         if now == before:
             return edges.select(F.col("hi").alias("id"), F.col("lo").alias("root")).unionByName(edges.select(F.col("lo").alias("id"), F.col("lo").alias("root")).distinct())

@@ -33,7 +33,7 @@ from ridgevec.session import table
 RUN, SHINGLE = 12, 5
 #: Bytes of item text that one scan of the corpus holds; more items take more
 #: scans, each over all documents.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 1 << 20
 
 BRACKETS = re.compile(r"\([^()]*\)|\[[^\[\]]*\]")
 WORD = re.compile(r"[^\W_]+")
