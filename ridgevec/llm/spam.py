@@ -41,7 +41,15 @@ ENTRY_WORDS, RUN = 8, 5
 WORD = re.compile(r"[^\W_]+")
 #: What every link has, for a quick look.
 LINKISH = re.compile(r"://|www\.|<a\b|\]\(|#\w|\.[a-z]{2,12}/", re.I)
-LINK = re.compile(r"<a\b[^>]*>[^<]*</a>|\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,12}/\S*|\B#\w+", re.I)
+#: Lengths are bounded, so that no text makes a search start over and over.
+LINK = re.compile(
+    r"<a\b[^>]{0,2000}>[^<]{0,2000}</a>"
+    r"|\[[^\]\n]{0,500}\]\([^)\s]{0,2000}\)"
+    r"|(?:https?://|www\.)\S+"
+    r"|\b[\w-]{1,63}(?:\.[\w-]{1,63}){0,8}\.[a-z]{2,12}/\S*"
+    r"|\B#\w+",
+    re.I,
+)
 PIECE = re.compile(r"[\n|»›•·*;,/\t]+| [-–—] ")
 ENTRY = re.compile(r"[\n|»›•·]+")
 ENDS = (".", "!", "?", ":", "…")
@@ -69,7 +77,9 @@ class Words:
         self.known = Hashes()
 
     def of(self, text: str) -> tuple[list[str], np.ndarray]:
-        words = [w.lower() for w in WORD.findall(text)]
+        low = text.lower()
+        # a few letters grow when lowered, which may cut words in two
+        words = WORD.findall(low) if len(low) == len(text) else [w.lower() for w in WORD.findall(text)]
         return words, np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
 
