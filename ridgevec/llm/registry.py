@@ -9,6 +9,7 @@ def queries() -> dict:
     return {
         "p1_found": clusters.p1_found,
         "p1_clusters": clusters.p1_clusters,
+        "p1_leaves": clusters.p1_leaves,
         "p3_found": neighbours.p3_found,
         "p3_neighbours": neighbours.p3_neighbours,
         "p6_ids": tokenize.p6_ids,
