@@ -6,6 +6,8 @@ whole tables. Scores are compared on six decimals, ordered on nine.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,8 @@ from ridgevec.operators import evaluation, ivf, maintenance, store
 from ridgevec.operators import search as srch
 from ridgevec.operators.changefeed import base_snapshots
 from ridgevec.operators.orphans import clean_id
-from ridgevec.session import table, written
+from ridgevec.session import shared_dir, table, written
+from ridgevec.sources.snapshots import SnapshotStore
 from ridgevec.sources.vectors import stored_vectors
 
 SCHEMA = {"year": "number", "premium": "boolean", "lang": ["en", "fr", "de"]}
@@ -226,6 +229,13 @@ def topk_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(srch.search(c.unionByName(again), query_of(spark, sf_dir, 3), K))
 
 
+def stored_unit_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over a store that keeps unit vectors, as one for cosine does."""
+    c = corpus(spark, sf_dir, True).withColumn("vec", scores.unit(F.col("vec")))
+    return _out(srch.search(c, query_of(spark, sf_dir), K, stored_unit=True))
+
+
+QUERIES["exact_topk_stored_unit"], SQL["exact_topk_stored_unit"] = stored_unit_topk, topk_sql("cosine", scaled=True)
 QUERIES |= {"batch_topk": batch_topk, "batch_topk_l2": batch_topk_l2, "batch_topk_where": batch_topk_where, "topk_ties": topk_ties}
 SQL |= {
     "batch_topk": batch_sql(),
@@ -416,6 +426,19 @@ def snapshot_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_sum(store.replay(base, j, half).select("id", "vec", "meta"))
 
 
+def snapshot_store_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through a store on files: half of the journal appended and
+    saved, the rest appended and replayed over the snapshot."""
+    root = f"{shared_dir(spark)}/ridgevec-store-{uuid.uuid4().hex}"
+    s = SnapshotStore(spark, root, 64, 16)
+    j = event_journal(spark, sf_dir).withColumnRenamed("seq", "ord")
+    half = (j.agg(F.max("ord").alias("m")).first()["m"] or 0) // 2
+    s.append(j.where(F.col("ord") <= half))
+    s.save()
+    s.append(j.where(F.col("ord") > half))
+    return _with_sum(s.load().select("id", "vec", "meta"))
+
+
 def journal_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = table(spark, sf_dir, "journal")
     m = table(spark, sf_dir, "meta_states").where("db_name IS NOT NULL").groupBy("db_name").agg(F.max("last_seq").alias("upto"))
@@ -468,6 +491,7 @@ QUERIES |= {
     "journal_fold": journal_fold,
     "metadata_fold": metadata_fold,
     "snapshot_replay": snapshot_replay,
+    "snapshot_store_replay": snapshot_store_replay,
     "journal_truncate": journal_truncate,
     "latest_complete_snapshot": latest_complete_snapshot,
     "store_stats": store_stats,
@@ -480,6 +504,7 @@ SQL |= {
     "journal_fold": f"WITH {_JOURNAL}, {_fold_sql('j')} SELECT id, seq, {_VSUM} FROM f JOIN embeddings ON v = vec_id WHERE op = 'upsert'",
     "metadata_fold": f"WITH {_JOURNAL}, {_fold_sql('j')} SELECT id, seq, meta FROM f WHERE op = 'upsert'",
     "snapshot_replay": f"WITH {_JOURNAL}, {_fold_sql('j')} SELECT id, meta, {_VSUM} FROM f JOIN embeddings ON v = vec_id WHERE op = 'upsert'",
+    "snapshot_store_replay": f"WITH {_JOURNAL}, {_fold_sql('j')} SELECT id, meta, {_VSUM} FROM f JOIN embeddings ON v = vec_id WHERE op = 'upsert'",
     "journal_truncate": """WITH m AS (SELECT db_name, max(last_seq) AS upto FROM meta_states GROUP BY 1)
 SELECT db_name, count(*) AS entries, min(seq) AS first_seq FROM journal JOIN m USING (db_name) WHERE seq > upto GROUP BY 1""",
     "latest_complete_snapshot": """WITH st AS (SELECT lower(trim(snapshot_id)) AS sid, arg_max(lower(trim(status)), recorded_at) AS status FROM snapshots GROUP BY 1)
