@@ -119,42 +119,48 @@ def local_links(x: np.ndarray, err: np.ndarray, threshold: float):
     ``BLOCK`` times the cell."""
     n = len(x)
     emax = float(err.max()) if n else 0.0
-    sure, maybe = threshold + 2 * emax + emax * emax + 1e-5, threshold - 2 * emax - emax * emax - 1e-5
-    label = np.arange(n)
-    cached = []
+    slack = 2 * emax + emax * emax + 1e-5
+    sure, maybe = threshold + slack, threshold - slack
+    keep = n <= 4 * BLOCK
+    label = np.arange(n, dtype=np.int32)
+    linked, doubtful = [], []
     for s in range(0, n, BLOCK):
         sim = x[s : s + BLOCK] @ x.T
-        label[s : s + BLOCK] = np.argmax(sim >= sure, axis=1)  # the diagonal may miss ``sure`` only by rounding
-        cached.append(sim if n <= 4 * BLOCK else None)
-    own = np.arange(n)
-    label = np.where(label > own, own, label)
-    has0 = x @ x[0] >= sure if n else np.zeros(0, bool)
-    label = np.where((label == 0) & ~has0 & (own > 0), own, label)
-    doubtful = []
-    while True:
+        hit = sim >= sure
+        own = np.arange(len(sim))
+        hit[own, s + own] = True
+        degree = np.count_nonzero(hit, axis=1)
+        if np.count_nonzero(sim >= maybe) > degree.sum() - np.count_nonzero(sim[own, s + own] < maybe):
+            p, q = np.nonzero((sim >= maybe) & ~hit)
+            doubtful.append(np.stack([np.maximum(p + s, q), np.minimum(p + s, q)], 1))
+        rows = np.flatnonzero(degree > 1)
+        label[s + rows] = np.argmax(hit[rows], axis=1)
+        linked.append((s + rows, hit[rows] if keep else None))
+    # only rows with a link can be another row's link
+    act = np.concatenate([rows for rows, _ in linked]) if linked else np.zeros(0, np.int64)
+    subs = [(rows, hit[:, act] if keep else None) for rows, hit in linked]
+    y = x[act]
+    while len(act):
         old = label.copy()
         while True:
             up = label[label]
             if (up == label).all():
                 break
             label = up
-        doubtful = []
-        for i, s in enumerate(range(0, n, BLOCK)):
-            sim = cached[i] if cached[i] is not None else x[s : s + BLOCK] @ x.T
-            hit = sim >= sure
-            rows = np.flatnonzero(hit.sum(1) > 1)
-            if len(rows):
-                low = np.where(hit[rows], label[None, :], n).min(1)
-                np.minimum.at(label, label[s + rows], low)
-                label[s + rows] = np.minimum(label[s + rows], low)
-            p, q = np.nonzero((sim < sure) & (sim >= maybe))
-            if len(p):
-                doubtful.append(np.stack([p + s, q], 1))
+        for rows, hit in subs:
+            if not len(rows):
+                continue
+            if hit is None:
+                hit = x[rows] @ y.T >= sure
+            low = np.minimum(np.where(hit, label[act][None, :], n).min(1), label[rows]).astype(np.int32)
+            np.minimum.at(label, label[rows], low)
+            label[rows] = low
         if (label == old).all():
             break
-    pairs = np.concatenate(doubtful) if doubtful else np.zeros((0, 2), np.int64)
-    pairs = pairs[(pairs[:, 0] > pairs[:, 1]) & (label[pairs[:, 0]] != label[pairs[:, 1]])] if len(pairs) else pairs
-    return label, pairs
+    if not doubtful:
+        return label, np.zeros((0, 2), np.int64)
+    pairs = np.unique(np.concatenate(doubtful), axis=0)
+    return label, pairs[label[pairs[:, 0]] != label[pairs[:, 1]]]
 
 
 def cell_links(cells: DataFrame, threshold: float) -> DataFrame:
