@@ -1,12 +1,17 @@
 """Problem 8: pages of stuffed keywords, links and product tags.
 
 Coherence is the pointwise mutual information of neighbouring words from
-document counts of the whole corpus; a document's own occurrence is taken out,
-so a page can't vouch for itself. A word that fits neither neighbour and keeps
+document counts of the whole corpus; texts of the same words count once and a
+document's own occurrence is taken out, so neither a page nor its copies can
+vouch for it. A word that fits neither neighbour and keeps
 coming back in such places is a stuffed keyword: word salad and collocations
 that only one page repeats both look like that. Names in a division list fit no
 neighbour either, but don't come back; repeated formulas come back, but fit.
 
+Different pages with the same keywords do vouch for each other, so words that
+crowd a stretch of ``CROWD`` words are stuffed whatever their PMI, if they stand
+in ever other order or without any punctuation; a formula keeps its order.
+
 Words inside links, markup anchors, bare addresses and hash tags, and entries
 of lists (short pieces between separators, in long runs or repeated, without
 the end of a sentence) count as well. The share of such words is smoothed over
@@ -37,6 +42,9 @@ RARE, LEAST_DOCS = 1.5e-6, 2
 UNATTESTED, UNFIT = -6.0, -1.0
 REPEATS, REACH, DENSE, CASE = 3, 8, 0.3, 0.5
 ENTRY_WORDS, RUN = 8, 5
+#: Words of a stretch and of the shortest one, the part of them that words coming
+#: back must make up, and the distinct pairs there of each such word.
+CROWD, LEAST_CROWD, CROWDED, MIXED = 80, 30, 0.6, 2.0
 
 WORD = re.compile(r"[^\W_]+")
 #: What every link has, for a quick look.
@@ -52,6 +60,7 @@ LINK = re.compile(
 )
 PIECE = re.compile(r"[\n|»›•·*;,/\t]+| [-–—] ")
 ENTRY = re.compile(r"[\n|»›•·]+")
+MARK = re.compile(r"[^\w\s]")
 ENDS = (".", "!", "?", ":", "…")
 MIX = 0x9E3779B97F4A7C15
 
@@ -93,13 +102,15 @@ def pairs(h: np.ndarray) -> np.ndarray:
 def _count(batches):
     reader = Words()
     for b in batches:
-        single, double = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        single, double, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], 0
         for text in b.column(0).to_pylist():
             if not text:
                 continue
+            docs += 1
             _, h = reader.of(text)
             single.append(np.unique(h))
             double.append(np.unique(pairs(h)))
+        yield pa.record_batch([pa.array([None], pa.bool_()), pa.array([0], pa.int64()), pa.array([docs], pa.int64())], names=["pair", "h", "c"])
         for pair, part in ((False, single), (True, double)):
             h, c = np.unique(np.concatenate(part), return_counts=True)
             yield pa.record_batch([pa.array(np.full(len(h), pair)), pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["pair", "h", "c"])
@@ -131,21 +142,23 @@ class Statistics:
 
 
 def statistics(documents: DataFrame, rare: float = RARE) -> Statistics:
-    """Counts over all documents; partial counts are folded in the tasks, then
+    """Counts over all distinct texts, whatever stands between the words and in
+    which case; partial counts are folded in the tasks, then
     by hash, and only what isn't rare reaches the driver: at most ``1 / rare``
     pairs, and no more words than that and the documents' first words."""
     texts = documents.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL AND text <> ''")
+    spoken = F.trim(F.regexp_replace(F.lower("text"), r"(?U)[\W_]+", " "))
+    texts = texts.groupBy(F.md5(spoken.cast("binary")).alias("key")).agg(F.min("text").alias("text")).select("text")
     counts = texts.mapInArrow(_count, "pair boolean, h bigint, c bigint").groupBy("pair", "h").agg(F.sum("c").alias("c"))
     counts = written(counts, "pairs")
-    r = counts.agg(F.sum(F.when(F.col("pair"), F.col("c"))).alias("pairs"), F.max(F.when(~F.col("pair"), F.col("c"))).alias("most")).first()
+    r = counts.agg(F.sum(F.when(F.col("pair"), F.col("c"))).alias("pairs"), F.sum(F.when(F.col("pair").isNull(), F.col("c"))).alias("docs")).first()
     total = r["pairs"] or 0
-    docs = texts.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     least = max(float(LEAST_DOCS), total * rare)
-    kept = counts.where(F.col("c") >= math.ceil(least)).toArrow()
+    kept = counts.where(F.col("pair").isNotNull() & (F.col("c") >= math.ceil(least))).toArrow()
     h, c, p = kept["h"].to_numpy().view(np.uint64), kept["c"].to_numpy(), kept["pair"].to_numpy(zero_copy_only=False).astype(bool)
     w, q = np.flatnonzero(~p), np.flatnonzero(p)
     w, q = w[np.argsort(h[w])], q[np.argsort(h[q])]
-    return Statistics(docs, least, h[w], c[w], h[q], c[q])
+    return Statistics(r["docs"] or 0, least, h[w], c[w], h[q], c[q])
 
 
 def _in_spans(starts: np.ndarray, spans) -> np.ndarray:
@@ -212,6 +225,33 @@ def marks(text: str, n: int) -> np.ndarray | None:
     return out
 
 
+def crowded(text: str, h: np.ndarray) -> np.ndarray:
+    """Words that come back all over a stretch: not in the fixed order of a
+    formula or list, or in any order without a mark between them."""
+    n = len(h)
+    out, starts = np.zeros(n, bool), None
+    if n < LEAST_CROWD:
+        return out
+    for s in range(0, max(1, n - CROWD // 2), CROWD // 2):
+        s = max(0, min(s, n - CROWD))
+        _, which, count = np.unique(h[s : s + CROWD], return_inverse=True, return_counts=True)
+        if 2 * len(count) > len(which):
+            continue
+        back = count[which] >= REPEATS
+        if back.mean() < CROWDED:
+            continue
+        both = back[:-1] & back[1:]
+        mixed = len(np.unique(which[:-1][both] * len(count) + which[1:][both])) >= MIXED * (count >= REPEATS).sum()
+        if not mixed:
+            if starts is None:
+                starts = [m.start() for m in WORD.finditer(text)]
+            piece = text[starts[s] : starts[min(n, s + CROWD) - 1]]
+            mixed = "\n" not in piece and not MARK.search(piece)
+        if mixed:
+            out[s : s + CROWD] |= back
+    return out
+
+
 def judge(text: str | None, reader: Words, stats: Statistics) -> tuple[float, float]:
     """Share of a text's words that lie in spam, and the mean PMI of its
     neighbours (0 for fewer than two words)."""
@@ -232,6 +272,7 @@ def judge(text: str | None, reader: Words, stats: Statistics) -> tuple[float, fl
     at = np.flatnonzero(loose)
     back = Counter(words[i] for i in at)
     mark[[i for i in at if back[words[i]] >= REPEATS and len(words[i]) > 1]] = True
+    mark |= crowded(text, h)
     if not mark.any():
         return 0.0, float(value.mean())
     total = np.concatenate([[0], np.cumsum(mark)])

@@ -201,3 +201,31 @@ def test_spam_on_nothing(spark):
 def test_spam_counts_are_over_documents(spark):
     s = spam.statistics(docs(spark, [(1, "a b a b a b"), (2, "a b c"), (3, "a b")]))
     assert s.docs == 3 and s.pair_docs.tolist() == [3] and sorted(s.word_docs.tolist()) == [3, 3]
+
+
+def found(df):
+    return {r["doc_id"] for r in df.where("share > 0.5").select("doc_id").distinct().collect()}
+
+
+def test_copies_of_spam_do_not_vouch_for_it(spark):
+    rows, _, good = corpus()
+    rng = random.Random(12)
+    # too many words for the page itself to look crowded
+    keys = [f"stuff{i}" for i in range(50)]
+    page = " ".join(rng.choice(keys) for _ in range(220))
+    copies = [(5000 + i, page) for i in range(300)] + [(5300, page.upper()), (5301, page.replace(" ", "  ", 9))]
+    assert not spam.crowded(page, spam.Words().of(page)[1]).any()
+    assert found(spam.scores(docs(spark, rows + good + copies))) == {i for i, _ in copies}
+
+
+def test_pages_that_share_keywords_do_not_vouch_for_each_other(spark):
+    rows, _, good = corpus()
+    rng = random.Random(13)
+    keys = [f"stuff{i}" for i in range(6)]
+    salad = [(5000 + i, rows[i][1][:80] + "\n" + " ".join(rng.choice(keys) for _ in range(150))) for i in range(40)]
+    ended = [(5100 + i, " ".join(" ".join(rng.choice(keys) for _ in range(rng.randrange(2, 6))) + "." for _ in range(40))) for i in range(40)]
+    phrase = [(5200 + i, f"Page {i}. " + "cheap harbour loans today " * 30) for i in range(40)]
+    fine = [(6000 + i, " ".join(f"Member name{i * 40 + j} voted aye." for j in range(40))) for i in range(5)]
+    fine += [(6100 + i, "\n".join(f"Amendment {j} of clause {i} rejected" + "." * (j % 2) for j in range(40))) for i in range(5)]
+    every = docs(spark, rows + good + salad + ended + phrase + fine)
+    assert found(spam.scores(every)) == {i for i, _ in salad + ended + phrase}
