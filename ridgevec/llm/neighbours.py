@@ -11,8 +11,9 @@ The links found there close into neighbourhoods. Inside one, projected
 neighbours are verified in double precision on the stored floats, nearest
 first, until the chi-square test holds for the k-th best. The queries of a large
 neighbourhood are spread over several tasks, each against all its rows; beyond
-``LARGEST`` classes, where that would be quadratic work, it is cut by a kd-tree
-of its own and probed the same way, with some loss inside it.
+``LARGEST`` classes the rows are cut into blocks too, every block of queries
+meets every block of rows, and the best of all blocks count. That is quadratic
+work, but nothing is left out.
 
 Exact copies are one class: its candidates are its own smallest ids and those
 of other classes, so no group of copies is ever expanded into pairs. Ties go to
@@ -37,8 +38,8 @@ from ridgevec.sources.vectors import stored_vectors, vector_classes
 SIMILARITY, K = 0.92, 3
 #: Projections (even), leaves probed, and the certainty of the stopping test.
 PROJECTIONS, PROBES, CERTAINTY = 12, 6, 0.9995
-#: Classes of a neighbourhood that are searched whole, queries of one that a
-#: task answers, and rows aimed at in a task of small ones.
+#: Classes of a neighbourhood that a task may hold, queries of one that a task
+#: answers, and rows aimed at in a task of small ones.
 LARGEST, QUERIES, BIN_ROWS = 200_000, 16_384, 4096
 #: Neighbourhoods up to this size are ranked without projections.
 DIRECT = 512
@@ -118,7 +119,7 @@ def rank(u: np.ndarray, ids: list, query: np.ndarray, similarity: float, k: int)
             else:  # the test rarely holds in a group this dense
                 direct = True
         if sim is None:
-            sim = _exact_best(u, low, q, want)
+            sim = _exact_best(u, low, u[q], want)
         # candidates at least as good as the (k+1)-th class; ties all kept
         if n > want:
             cut = np.maximum(np.partition(sim, n - want, axis=1)[:, n - want], similarity)
@@ -145,19 +146,19 @@ def rank(u: np.ndarray, ids: list, query: np.ndarray, similarity: float, k: int)
 
 
 def _exact_best(u: np.ndarray, low: np.ndarray, q: np.ndarray, want: int) -> np.ndarray:
-    """Similarities of some rows to all; those that can't be among the best
+    """Similarities of some vectors to all rows; those that can't be among the best
     ``want`` by the 32-bit product are left at that product, less a margin."""
     n = len(u)
     if n <= 4 * DIRECT:
-        return np.round(u[q] @ u.T, 6)
-    rough = low[q] @ low.T
+        return np.round(q @ u.T, 6)
+    rough = q.astype(np.float32) @ low.T
     cut = np.partition(rough, n - want, axis=1)[:, n - want] - 3e-6
     i, j = np.nonzero(rough >= cut[:, None])
     if len(i) > 0.02 * rough.size:
-        return np.round(u[q] @ u.T, 6)
+        return np.round(q @ u.T, 6)
     sim = rough - np.float32(1e-5)
     sim = sim.astype(np.float64)
-    sim[i, j] = np.round(np.einsum("ij,ij->i", u[q[i]], u[j]), 6)
+    sim[i, j] = np.round(np.einsum("ij,ij->i", q[i], u[j]), 6)
     return sim
 
 
@@ -174,8 +175,8 @@ def _rank_task(similarity: float, k: int):
         cuts = np.flatnonzero(np.diff(root)) + 1
         a, b, v = [], [], []
         for s, e in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(root)]])):
-            # visitors ask, homes answer; a visitor's own class is met at home
-            r, c, sim = rank(u[s:e], ids[s:e], ask[s:e], similarity, k) if home[s:e].all() else _visit(u[s:e], ids[s:e], home[s:e], similarity, k)
+            # rows that are at home answer; a row's own class is met where it is at home
+            r, c, sim = rank(u[s:e], ids[s:e], ask[s:e], similarity, k) if home[s:e].all() else rank_block(u[s:e], ids[s:e], ask[s:e], home[s:e], similarity, k)
             a.append(rep[s:e][r])
             b.append(c)
             v.append(sim)
@@ -184,20 +185,26 @@ def _rank_task(similarity: float, k: int):
     return run
 
 
-def _visit(u, ids, home, similarity, k):
-    """Ranks the home classes for homes and visitors alike."""
-    hosts, guests = np.flatnonzero(home), np.flatnonzero(~home)
-    r, c, s = rank(u[hosts], [ids[i] for i in hosts], np.ones(len(hosts), bool), similarity, k) if len(hosts) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    out = [(hosts[r] if len(hosts) else r, c, s)]
-    if len(hosts) and len(guests):
-        want, names = k + 1, [ids[i] for i in hosts]
-        for at in range(0, len(guests), 256):
-            q = guests[at : at + 256]
-            sim = np.round(u[q] @ u[hosts].T, 6)
-            cut = np.maximum(np.partition(sim, len(hosts) - want, axis=1)[:, len(hosts) - want], similarity) if len(hosts) > want else np.full(len(q), similarity)
-            i, j = np.nonzero(sim >= cut[:, None])
-            rep = np.repeat(np.arange(len(j)), [len(names[x]) for x in j]) if len(j) else np.zeros(0, np.int64)
-            out.append((q[i[rep]], np.concatenate([names[x] for x in j]) if len(j) else np.zeros(0, np.int64), sim[i, j][rep]))
+def rank_block(u: np.ndarray, ids: list, query: np.ndarray, home: np.ndarray, similarity: float, k: int):
+    """As :func:`rank`, but only the rows in ``home`` are candidates; exact."""
+    rows, asks = np.flatnonzero(home), np.flatnonzero(query)
+    v, want = u[rows], k + 1
+    low, names = v.astype(np.float32), [ids[i] for i in rows]
+    copies = np.array([len(x) for x in names], np.int64)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    step = max(1, min(256, (1 << 23) // max(1, len(rows))))
+    for s in range(0, len(asks) if len(rows) else 0, step):
+        q = asks[s : s + step]
+        sim = _exact_best(v, low, u[q], want)
+        cut = np.maximum(np.partition(sim, len(rows) - want, axis=1)[:, len(rows) - want], similarity) if len(rows) > want else np.full(len(q), similarity)
+        i, j = np.nonzero(sim >= cut[:, None])
+        rep = np.repeat(np.arange(len(j)), copies[j])
+        other = np.concatenate([names[c] for c in j]) if len(j) else np.zeros(0, np.int64)
+        i, near = i[rep], sim[i, j][rep]
+        order = np.lexsort((other, -near, i))
+        i, near, other = i[order], near[order], other[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, np.arange(len(q)))[i] < want
+        out.append((q[i[keep]], other[keep], near[keep]))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -226,11 +233,10 @@ def nearest(classes: DataFrame, copies: DataFrame, similarity: float = SIMILARIT
         far_bin = F.lit(1 << 40) + F.pmod(F.xxhash64("root"), F.lit(1 << 20)) * 4096 + F.col("part")
         mid = mid.withColumns({"bin": far_bin, "home": F.lit(True), "ask": F.pmod(F.xxhash64("rep"), F.col("parts")) == F.col("part")})
         ranked = small.select(*cols).unionByName(mid.select(*cols)).groupBy("bin").applyInArrow(task, schema)
-        large = asked.where(F.col("size") > largest).drop("size")
-        if large.limit(1).count():
+        if sizes.where(F.col("size") > largest).limit(1).count():
             top = Window.partitionBy("rep").orderBy(F.col("score").desc(), "other")
-            split = _visits(large, similarity, queries, 2 * probes).groupBy("bin").applyInArrow(task, schema)
-            ranked = ranked.unionByName(split.distinct().withColumn("r", F.row_number().over(top)).where(F.col("r") <= k + 1).drop("r"))
+            split = _blocks(asked.where(F.col("size") > largest), largest).groupBy("bin").applyInArrow(task, schema)
+            ranked = ranked.unionByName(split.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k + 1).drop("r"))
     lists = ranked.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), F.col("other").alias("id")))).alias("best"))
     lists = written(lists, "lists")
     everyone = lists.select(F.col("rep").alias("id"), "best").unionByName(copies.join(lists, "rep").select("id", "best"))
@@ -238,20 +244,18 @@ def nearest(classes: DataFrame, copies: DataFrame, similarity: float = SIMILARIT
     return everyone.select("id", F.posexplode(own).alias("pos", "x")).select("id", F.col("x.id").alias("other"), (-F.col("x.far")).alias("score"), (F.col("pos") + 1).alias("rank"))
 
 
-def _visits(large: DataFrame, similarity: float, leaf_rows: int, probes: int) -> DataFrame:
-    """Rows of large neighbourhoods at their home leaf and as visitors of the
-    leaves next to it, in a kd-tree fitted on a bounded sample of them."""
-    router = _router(large, rows_in(large), similarity, leaf_rows, probes)
-
-    def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            row, leaf, order = router.leaves(vx.unit(vx.unpack(b.column(2))))
-            picked = b.take(pa.array(row))
-            yield pa.record_batch([pa.array(-1 - leaf.astype(np.int64)), pa.array(order == 0), pa.array(np.ones(len(row), bool)), *picked.columns], names=["bin", "home", "ask", "rep", "root", "vec", "ids"])
-
-    return large.select("rep", "root", "vec", "ids").mapInArrow(run, "bin bigint, home boolean, ask boolean, rep bigint, root bigint, vec binary, ids array<bigint>")
+def _blocks(large: DataFrame, largest: int) -> DataFrame:
+    """Rows of large neighbourhoods, cut into blocks of half of ``largest``:
+    each pair of blocks is a bin, where the first asks and the second is home."""
+    blocks = F.ceil(2 * F.col("size") / F.lit(largest)).cast("bigint")
+    first = F.lit(1 << 41) + F.pmod(F.xxhash64("root"), F.lit(1 << 20)) * (1 << 20)
+    cut = large.withColumns({"blocks": blocks, "first": first}).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    cut = cut.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    yes, no, same = F.lit(True), F.lit(False), F.col("own") == F.col("block")
+    asks = F.struct((F.col("first") + F.col("own") * F.col("blocks") + F.col("block")).alias("bin"), same.alias("home"), yes.alias("ask"))
+    answers = F.struct((F.col("first") + F.col("block") * F.col("blocks") + F.col("own")).alias("bin"), yes.alias("home"), no.alias("ask"))
+    cut = cut.withColumn("x", F.explode(F.when(same, F.array(asks)).otherwise(F.array(asks, answers))))
+    return cut.select("x.bin", "x.home", "x.ask", "rep", "root", "vec", "ids")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,6 +114,20 @@ def test_large_neighbourhoods_are_split(spark):
     assert len(take(largest=300, queries=200) & pairs) >= 0.9 * len(pairs)
 
 
+def test_large_neighbourhoods_are_searched_whole(spark):
+    rng = np.random.default_rng(14)
+    centre = rng.normal(size=64)
+    rows = [centre + rng.normal(size=64) * 0.15 for _ in range(3000)]
+    rows += [rows[i] for i in range(5)] * 2 + [rng.normal(size=64) for _ in range(30)]
+    live = [(1, "d", list(range(len(rows))), np.concatenate(rows).astype(np.float32).tolist(), "x")]
+    _, pairs = truth(usable([], live))
+    classes, dup = classes_of(spark, [], live)
+    for largest in (1000, 250):
+        got = [(r["id"], r["other"]) for r in neighbours.nearest(classes, dup, largest=largest, queries=120).collect()]
+        assert len(got) == len(set(got))
+        assert {(min(p), max(p)) for p in got} == pairs
+
+
 def test_nothing(spark):
     classes, dup = classes_of(spark, [], [])
     assert clusters.clusters(classes, dup).count() == 0
