@@ -18,9 +18,10 @@ the end of a sentence) count as well. The share of such words is smoothed over
 a window of ``REACH`` words to each side; a page is a case if more than half of
 its words lie where the share is at least ``DENSE``.
 
-Pairs of words are kept for the second pass where they stand in at least a part
-``RARE`` of all distinct pairs of documents, which bounds their number by
-``1 / RARE`` whatever the corpus; rarer pairs count as unattested.
+Pairs are attested by ``LEAST_DOCS`` other documents, whatever the corpus. Those
+in at least a part ``RARE`` of all distinct pairs of documents, at most
+``1 / RARE``, travel with the tasks. Without the rarer ones a page's share can
+only be too high, so their counts are joined to the pages that this matters for.
 
 Null, blank and very short texts are no cases; repeated rows give one row.
 """
@@ -117,10 +118,12 @@ def _count(batches):
 
 
 class Statistics:
-    """Document counts of the words and pairs that are not rare."""
+    """Document counts of the words and pairs in at least ``least`` documents."""
 
     def __init__(self, docs: int, least: float, words, word_docs, pair_hashes, pair_docs):
         self.docs, self.least = docs, least
+        #: Attested pairs may be missing.
+        self.partial = math.ceil(least) > LEAST_DOCS + 1
         self.words, self.word_docs = words, word_docs
         self.pairs, self.pair_docs = pair_hashes, pair_docs
 
@@ -132,20 +135,43 @@ class Statistics:
         at[at == len(keys)] = 0
         return np.where(keys[at] == h, values[at], 0).astype(np.float64)
 
-    def pmi(self, h: np.ndarray) -> np.ndarray:
-        """Of each pair of neighbours, without the document's own part."""
+    def rare(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words and pairs of a text whose counts aren't here."""
+        double = pairs(h)
+        gone = self._look(self.pairs, self.pair_docs, double) == 0
+        single = np.concatenate([h[:-1][gone], h[1:][gone]])
+        return np.unique(single[self._look(self.words, self.word_docs, single) == 0]), np.unique(double[gone])
+
+    def pmi(self, h: np.ndarray, more: Statistics | None = None) -> np.ndarray:
+        """Of each pair of neighbours, without the document's own part;
+        ``more`` has the counts of a text's rare words and pairs."""
         both = self._look(self.pairs, self.pair_docs, pairs(h)) - 1
-        one = np.maximum(1, self._look(self.words, self.word_docs, h))
+        one = self._look(self.words, self.word_docs, h)
+        if more is not None:
+            both += more._look(more.pairs, more.pair_docs, pairs(h))
+            one += more._look(more.words, more.word_docs, h)
+        one = np.maximum(1, one)
         with np.errstate(divide="ignore", invalid="ignore"):
             value = np.log(both * self.docs / (one[:-1] * one[1:]))
-        return np.where(both >= self.least, value, UNATTESTED)
+        return np.where(both >= LEAST_DOCS, value, UNATTESTED)
 
 
 def statistics(documents: DataFrame, rare: float = RARE) -> Statistics:
+    return all_counts(documents, rare)[0]
+
+
+def _sorted(docs: int, least: float, pair: np.ndarray, h: np.ndarray, c: np.ndarray) -> Statistics:
+    w, q = np.flatnonzero(~pair), np.flatnonzero(pair)
+    w, q = w[np.argsort(h[w])], q[np.argsort(h[q])]
+    return Statistics(docs, least, h[w], c[w], h[q], c[q])
+
+
+def all_counts(documents: DataFrame, rare: float = RARE) -> tuple[Statistics, DataFrame]:
     """Counts over all distinct texts, whatever stands between the words and in
-    which case; partial counts are folded in the tasks, then
-    by hash, and only what isn't rare reaches the driver: at most ``1 / rare``
-    pairs, and no more words than that and the documents' first words."""
+    which case, as the written table ``(pair, h, c)`` and what isn't rare of
+    it. Partial counts are folded in the tasks, then by hash, and at most
+    ``1 / rare`` pairs reach the driver, and no more words than that and the
+    documents' first words."""
     texts = documents.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL AND text <> ''")
     spoken = F.trim(F.regexp_replace(F.lower("text"), r"(?U)[\W_]+", " "))
     texts = texts.groupBy(F.md5(spoken.cast("binary")).alias("key")).agg(F.min("text").alias("text")).select("text")
@@ -156,9 +182,7 @@ def statistics(documents: DataFrame, rare: float = RARE) -> Statistics:
     least = max(float(LEAST_DOCS), total * rare)
     kept = counts.where(F.col("pair").isNotNull() & (F.col("c") >= math.ceil(least))).toArrow()
     h, c, p = kept["h"].to_numpy().view(np.uint64), kept["c"].to_numpy(), kept["pair"].to_numpy(zero_copy_only=False).astype(bool)
-    w, q = np.flatnonzero(~p), np.flatnonzero(p)
-    w, q = w[np.argsort(h[w])], q[np.argsort(h[q])]
-    return Statistics(r["docs"] or 0, least, h[w], c[w], h[q], c[q])
+    return _sorted(r["docs"] or 0, least, p, h, c), counts
 
 
 def _in_spans(starts: np.ndarray, spans) -> np.ndarray:
@@ -225,7 +249,7 @@ def marks(text: str, n: int) -> np.ndarray | None:
     return out
 
 
-def crowded(text: str, h: np.ndarray) -> np.ndarray:
+def crowded(text: str, words: list[str], h: np.ndarray) -> np.ndarray:
     """Words that come back all over a stretch: not in the fixed order of a
     formula or list, or in any order without a mark between them."""
     n = len(h)
@@ -234,9 +258,9 @@ def crowded(text: str, h: np.ndarray) -> np.ndarray:
         return out
     for s in range(0, max(1, n - CROWD // 2), CROWD // 2):
         s = max(0, min(s, n - CROWD))
-        _, which, count = np.unique(h[s : s + CROWD], return_inverse=True, return_counts=True)
-        if 2 * len(count) > len(which):
+        if 2 * len(set(words[s : s + CROWD])) > min(n, CROWD):
             continue
+        _, which, count = np.unique(h[s : s + CROWD], return_inverse=True, return_counts=True)
         back = count[which] >= REPEATS
         if back.mean() < CROWDED:
             continue
@@ -252,7 +276,7 @@ def crowded(text: str, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def judge(text: str | None, reader: Words, stats: Statistics) -> tuple[float, float]:
+def judge(text: str | None, reader: Words, stats: Statistics, more: Statistics | None = None) -> tuple[float, float]:
     """Share of a text's words that lie in spam, and the mean PMI of its
     neighbours (0 for fewer than two words)."""
     if not text:
@@ -261,7 +285,7 @@ def judge(text: str | None, reader: Words, stats: Statistics) -> tuple[float, fl
     n = len(words)
     if n < REPEATS:
         return 0.0, 0.0
-    value = stats.pmi(h)
+    value = stats.pmi(h, more)
     padded = np.concatenate([[UNATTESTED], value, [UNATTESTED]])
     loose = np.maximum(padded[:-1], padded[1:]) < UNFIT
     both = marks(text, n)
@@ -272,7 +296,7 @@ def judge(text: str | None, reader: Words, stats: Statistics) -> tuple[float, fl
     at = np.flatnonzero(loose)
     back = Counter(words[i] for i in at)
     mark[[i for i in at if back[words[i]] >= REPEATS and len(words[i]) > 1]] = True
-    mark |= crowded(text, h)
+    mark |= crowded(text, words, h)
     if not mark.any():
         return 0.0, float(value.mean())
     total = np.concatenate([[0], np.cumsum(mark)])
@@ -282,21 +306,57 @@ def judge(text: str | None, reader: Words, stats: Statistics) -> tuple[float, fl
     return float((share >= DENSE).mean()), float(value.mean())
 
 
-def scores(documents: DataFrame, stats: Statistics | None = None) -> DataFrame:
-    """``(doc_id, share, mean_pmi)`` of every document with an id."""
-    stats = stats or statistics(documents)
+def scores(documents: DataFrame, rare: float = RARE, above: float = -1.0) -> DataFrame:
+    """``(doc_id, share, mean_pmi)`` of every document with an id. Shares up to
+    ``above`` may be too high, but no higher than that, and their PMI too low."""
+    stats, counts = all_counts(documents, rare)
 
-    def run(batches):
+    def first(batches):
         reader = Words()
         for b in batches:
-            got = [judge(t, reader, stats) for t in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([round(g[1], 6) for g in got], pa.float64())], names=["doc_id", "share", "mean_pmi"])
+            texts = b.column(1).to_pylist()
+            got = [judge(t, reader, stats) for t in texts]
+            # only these need the rare counts as well
+            more = [t if stats.partial and t and g[0] > above else None for t, g in zip(texts, got)]
+            yield pa.record_batch([b.column(0), *_figures(got), pa.array(more, pa.string())], names=["doc_id", "share", "mean_pmi", "text"])
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL").mapInArrow(run, "doc_id bigint, share double, mean_pmi double")
+    def asks(batches):
+        reader = Words()
+        for b in batches:
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for pair, h in enumerate(stats.rare(reader.of(text)[1])):
+                    yield pa.record_batch([pa.array([key] * len(h), pa.string()), pa.array(np.full(len(h), bool(pair))), pa.array(h.view(np.int64))], names=["key", "pair", "h"])
+
+    def again(batches):
+        reader = Words()
+        for b in batches:
+            got = []
+            for text, seen in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                pair, h, c = (np.array([x[k] for x in seen or []], t) for k, t in (("pair", bool), ("h", np.int64), ("c", np.int64)))
+                got.append(judge(text, reader, stats, _sorted(stats.docs, 0, pair, h.view(np.uint64), c)))
+            yield pa.record_batch([b.column(0), *_figures(got)], names=["key", "share", "mean_pmi"])
+
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
+    judged = rows.mapInArrow(first, "doc_id bigint, share double, mean_pmi double, text string")
+    if not stats.partial:
+        return judged.drop("text")
+    judged = written(judged.withColumn("key", F.md5(F.col("text").cast("binary"))), "judged")
+    pages = judged.where("key IS NOT NULL").groupBy("key").agg(F.min("text").alias("text"))
+    pages = written(pages, "pages")
+    # a pair has the page itself besides; a word counts from the first
+    known = counts.where(F.col("pair").isNotNull() & (F.col("c") < math.ceil(stats.least)) & (~F.col("pair") | (F.col("c") > LEAST_DOCS)))
+    seen = pages.mapInArrow(asks, "key string, pair boolean, h bigint").join(known, ["pair", "h"]).groupBy("key").agg(F.collect_list(F.struct("pair", "h", "c")).alias("seen"))
+    exact = pages.join(seen, "key", "left").select("key", "text", "seen").mapInArrow(again, "key string, share double, mean_pmi double")
+    settled = judged.where("key IS NULL").select("doc_id", "share", "mean_pmi")
+    return settled.unionByName(judged.where("key IS NOT NULL").select("doc_id", "key").join(exact, "key").select("doc_id", "share", "mean_pmi"))
+
+
+def _figures(got: list) -> list[pa.Array]:
+    return [pa.array([g[0] for g in got], pa.float64()), pa.array([round(g[1], 6) for g in got], pa.float64())]
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores(table(spark, sf_dir, "documents")).where(F.col("share") > CASE).select("doc_id").distinct()
+    return scores(table(spark, sf_dir, "documents"), above=CASE).where(F.col("share") > CASE).select("doc_id").distinct()
 
 
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -214,7 +214,7 @@ def test_copies_of_spam_do_not_vouch_for_it(spark):
     keys = [f"stuff{i}" for i in range(50)]
     page = " ".join(rng.choice(keys) for _ in range(220))
     copies = [(5000 + i, page) for i in range(300)] + [(5300, page.upper()), (5301, page.replace(" ", "  ", 9))]
-    assert not spam.crowded(page, spam.Words().of(page)[1]).any()
+    assert not spam.crowded(page, *spam.Words().of(page)).any()
     assert found(spam.scores(docs(spark, rows + good + copies))) == {i for i, _ in copies}
 
 
@@ -229,3 +229,14 @@ def test_pages_that_share_keywords_do_not_vouch_for_each_other(spark):
     fine += [(6100 + i, "\n".join(f"Amendment {j} of clause {i} rejected" + "." * (j % 2) for j in range(40))) for i in range(5)]
     every = docs(spark, rows + good + salad + ended + phrase + fine)
     assert found(spam.scores(every)) == {i for i, _ in salad + ended + phrase}
+
+
+def test_rare_pairs_count_too(spark):
+    """With next to nothing in the driver's table the figures are the same."""
+    rows, bad, good = corpus()
+    every = docs(spark, rows + bad + good + bad[:3] + [(3000, None), (3001, "")])
+    take = lambda **kw: sorted((r["doc_id"], r["share"], r["mean_pmi"]) for r in spam.scores(every, **kw).collect())
+    want = take(rare=0.0)
+    assert take(rare=2e-3) == want
+    cases = {i for i, share, _ in want if share > spam.CASE}
+    assert {i for i, share, _ in take(rare=2e-3, above=spam.CASE) if share > spam.CASE} == cases == {i for i, _ in bad}
