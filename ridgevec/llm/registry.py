@@ -12,6 +12,7 @@ def queries() -> dict:
         "p1_leaves": clusters.p1_leaves,
         "p3_found": neighbours.p3_found,
         "p3_neighbours": neighbours.p3_neighbours,
+        "p3_similar": neighbours.p3_similar,
         "p6_ids": tokenize.p6_ids,
         "p6_roundtrip": tokenize.p6_roundtrip,
         "p7_found": leaks.p7_found,

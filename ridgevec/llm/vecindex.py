@@ -1,10 +1,16 @@
-"""Links between similar vectors found in the leaves of a space-partition tree.
+"""Links between similar vectors found in the leaves of space-partition trees.
+
+Trees are fitted on bounded samples; two of them, fitted apart, lose far less
+than one that is searched twice as far. A cell that has come to hold more than
+its share, as the number of leaves ends with the sample, is split on in its
+task, so work grows with the rows.
 
 Vectors travel as 8-bit codes with a proven error bound: one scale a vector,
 and the exact norm of what the rounding lost. A pair whose coded similarity
 clears the threshold by more than the bound is linked, one that misses it by
-more is not, and the few in between are decided on the stored floats by a
-join, so a link is never a matter of the codes.
+more is not. Vectors of pairs in between, if they aren't joined otherwise, are
+met again in their cell with the stored floats, so a link is never a matter of
+the codes, and what travels grows with the vectors, not with the pairs.
 """
 
 from __future__ import annotations
@@ -26,6 +32,9 @@ LEAF_SAMPLE = 8
 #: Rounding of similarities to 6 decimals moves the threshold by half a unit.
 HALF_UNIT = 5e-7
 BLOCK = 1024
+#: Rows of a cell that are compared at once, and leaves that a row goes to when a
+#: cell of more rows is split.
+PART_ROWS, PART_PROBES = 4096, 4
 
 
 def unpack(col: pa.Array, dtype="<f4", dim: int = 64) -> np.ndarray:
@@ -94,115 +103,110 @@ class Router:
         return self.tree.probe(feats if self.projection is None else feats @ self.projection, self.probes, self.stop)
 
 
-def routed(classes: DataFrame, router: Router) -> DataFrame:
-    """``(cell, rep, code, scale, err)``, a row for each leaf of a vector."""
-    # the router travels with the task: at most SAMPLE_ROWS / LEAF_SAMPLE planes, 1 MB
+def routed(classes: DataFrame, routers: list[Router]) -> DataFrame:
+    """``(cell, rep, code, scale, err)``, a row for each leaf of a vector in
+    each tree."""
+    # the routers travel with the task: at most SAMPLE_ROWS / LEAF_SAMPLE planes each, 1 MB
+    first = np.cumsum([0] + [r.tree.leaves for r in routers])
 
     def run(batches):
-        r = router
         for b in batches:
             rep = b.column(0).to_numpy()
             u = unit(unpack(b.column(1)))
             code, scale, err = encode(u)
             for s in range(0, len(rep), 8192):
-                row, leaf, _ = r.leaves(u[s : s + 8192])
-                row = row + s
-                yield pa.record_batch([pa.array(leaf.astype(np.int32)), pa.array(rep[row]), pack(code[row]), pa.array(scale[row]), pa.array(err[row])], names=["cell", "rep", "code", "scale", "err"])
+                for r, router in enumerate(routers):
+                    row, leaf, _ = router.leaves(u[s : s + 8192])
+                    row = row + s
+                    yield pa.record_batch([pa.array((leaf + first[r]).astype(np.int32)), pa.array(rep[row]), pack(code[row]), pa.array(scale[row]), pa.array(err[row])], names=["cell", "rep", "code", "scale", "err"])
 
     return classes.select("rep", "vec").mapInArrow(run, "cell int, rep bigint, code binary, scale float, err float")
 
 
-def local_links(x: np.ndarray, err: np.ndarray, threshold: float):
-    """Exact single linkage of one cell: label (smallest row) of each row by
-    certain links, and the pairs of differently labelled rows that only the
-    stored floats can decide. Works in row blocks, so memory is bounded by
-    ``BLOCK`` times the cell."""
-    n = len(x)
-    emax = float(err.max()) if n else 0.0
-    slack = 2 * emax + emax * emax + 1e-5
-    sure, maybe = threshold + slack, threshold - slack
-    keep = n <= 4 * BLOCK
-    label = np.arange(n, dtype=np.int32)
-    linked, doubtful = [], []
-    for s in range(0, n, BLOCK):
-        sim = x[s : s + BLOCK] @ x.T
-        hit = sim >= sure
-        own = np.arange(len(sim))
-        hit[own, s + own] = True
-        degree = np.count_nonzero(hit, axis=1)
-        if np.count_nonzero(sim >= maybe) > degree.sum() - np.count_nonzero(sim[own, s + own] < maybe):
-            p, q = np.nonzero((sim >= maybe) & ~hit)
-            doubtful.append(np.stack([np.maximum(p + s, q), np.minimum(p + s, q)], 1))
-        rows = np.flatnonzero(degree > 1)
-        label[s + rows] = np.argmax(hit[rows], axis=1)
-        linked.append((s + rows, hit[rows] if keep else None))
-    # only rows with a link can be another row's link
-    act = np.concatenate([rows for rows, _ in linked]) if linked else np.zeros(0, np.int64)
-    subs = [(rows, hit[:, act] if keep else None) for rows, hit in linked]
-    y = x[act]
-    while len(act):
-        old = label.copy()
+def lowest(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Closes labels (smallest row of a component) under the links ``i, j``."""
+    while len(i):
+        open_ = label[i] != label[j]
+        if not open_.any():
+            break
+        i, j = i[open_], j[open_]
+        low = np.minimum(label[i], label[j])
+        high = np.maximum(label[i], label[j])
+        np.minimum.at(label, high, low)
         while True:
             up = label[label]
             if (up == label).all():
                 break
             label = up
-        for rows, hit in subs:
-            if not len(rows):
-                continue
-            if hit is None:
-                hit = x[rows] @ y.T >= sure
-            low = np.minimum(np.where(hit, label[act][None, :], n).min(1), label[rows]).astype(np.int32)
-            np.minimum.at(label, label[rows], low)
-            label[rows] = low
-        if (label == old).all():
-            break
-    if not doubtful:
-        return label, np.zeros((0, 2), np.int64)
-    pairs = np.unique(np.concatenate(doubtful), axis=0)
-    return label, pairs[label[pairs[:, 0]] != label[pairs[:, 1]]]
+    return label
+
+
+def closed(x: np.ndarray, least: float) -> np.ndarray:
+    """Single linkage of all rows at ``least``: label (smallest row) of each.
+    Works in blocks of ``BLOCK`` rows."""
+    label = np.arange(len(x))
+    for s in range(0, len(x), BLOCK):
+        i, j = np.nonzero(x[s : s + BLOCK] @ x[s:].T >= least)
+        label = lowest(label, i + s, j + s)
+    return label
+
 
+def by_parts(x: np.ndarray, most: int, split):
+    """Row sets of a crowded cell, so that no set has many more than ``most``
+    rows: ``split(x, leaves)`` gives a tree and features to route by. Rows go
+    to their ``PART_PROBES`` nearest leaves of it."""
+    if len(x) <= most:
+        return [np.arange(len(x))]
+    tree, feats = split(x, -(-len(x) * PART_PROBES // (most // 2)))
+    row, leaf, _ = tree.probe(feats, PART_PROBES)
+    order = np.argsort(leaf, kind="stable")
+    return np.split(row[order], np.flatnonzero(np.diff(leaf[order])) + 1)
 
-def cell_links(cells: DataFrame, threshold: float) -> DataFrame:
+
+def cell_links(cells: DataFrame, link) -> DataFrame:
     """``(a, b, doubt)``: in every cell, each vector's link to the smallest id
-    of its local component, and the pairs still in doubt."""
+    of its local component; with ``doubt`` set, a vector ``b`` of the cell
+    ``a`` that only the stored floats can decide about. ``link(x, slack)``
+    gives labels and such rows for similarities that are off by up to
+    ``slack``."""
 
     def run(t: pa.Table) -> pa.Table:
         rep = t["rep"].to_numpy()
         order = np.argsort(rep, kind="stable")
         rep = rep[order]
         x = (unpack(t["code"], np.int8).astype(np.float32) * t["scale"].to_numpy()[:, None])[order]
-        label, pairs = local_links(x, t["err"].to_numpy()[order], threshold)
+        emax = float(t["err"].to_numpy().max())
+        label, doubt = link(x, 2 * emax + emax * emax + 1e-5)
         far = np.flatnonzero(label != np.arange(len(label)))
-        a = np.concatenate([rep[far], rep[pairs[:, 0]]])
-        b = np.concatenate([rep[label[far]], rep[pairs[:, 1]]])
-        doubt = np.arange(len(a)) >= len(far)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "doubt": pa.array(doubt)})
+        cell = np.full(int(doubt.sum()), t["cell"][0].as_py(), np.int64)
+        a = np.concatenate([rep[far], cell])
+        b = np.concatenate([rep[label[far]], rep[doubt]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "doubt": pa.array(np.arange(len(a)) >= len(far))})
 
     return cells.groupBy("cell").applyInArrow(run, "a bigint, b bigint, doubt boolean")
 
 
-def cosine_udf():
-    @F.pandas_udf("double")
-    def cosine(a, b):
-        import pandas as pd
+def exact_links(rows: DataFrame, threshold: float) -> DataFrame:
+    """``(a, b)`` links of the vectors ``(cell, rep, vec)``, cell by cell, on
+    the stored floats."""
 
-        u = unit(np.stack([np.frombuffer(v, "<f4") for v in a])) if len(a) else np.zeros((0, 1))
-        v = unit(np.stack([np.frombuffer(v, "<f4") for v in b])) if len(b) else np.zeros((0, 1))
-        return pd.Series((u * v).sum(1))
+    def run(t: pa.Table) -> pa.Table:
+        rep = t["rep"].to_numpy()
+        order = np.argsort(rep, kind="stable")
+        rep = rep[order]
+        label = closed(unit(unpack(t["vec"])[order]), threshold - HALF_UNIT)
+        far = np.flatnonzero(label != np.arange(len(label)))
+        return pa.table({"a": pa.array(rep[far], pa.int64()), "b": pa.array(rep[label[far]], pa.int64())})
 
-    return cosine
+    return rows.groupBy("cell").applyInArrow(run, "a bigint, b bigint")
 
 
-def similar_links(classes: DataFrame, router: Router, threshold: float) -> DataFrame:
+def similar_links(classes: DataFrame, routers: list[Router], link, threshold: float) -> DataFrame:
     """``(a, b)`` links whose closure joins all classes that are at least
-    ``threshold`` similar and meet in a leaf."""
-    links = written(cell_links(routed(classes, router), threshold).distinct(), "links")
-    doubt = links.where("doubt").select("a", "b")
+    ``threshold`` similar and meet in a leaf of one of the trees."""
+    links = written(cell_links(routed(classes, routers), link).distinct(), "links")
     sure = links.where("NOT doubt").select("a", "b")
+    doubt = links.where("doubt").select(F.col("a").alias("cell"), F.col("b").alias("rep"))
     if not rows_in(doubt):
         return sure
-    left = classes.select(F.col("rep").alias("a"), F.col("vec").alias("va"))
-    right = classes.select(F.col("rep").alias("b"), F.col("vec").alias("vb"))
-    settled = doubt.join(left, "a").join(right, "b").where(cosine_udf()("va", "vb") >= threshold - HALF_UNIT)
-    return sure.unionByName(settled.select("a", "b"))
+    return sure.unionByName(exact_links(doubt.join(classes.select("rep", "vec"), "rep"), threshold))

@@ -170,17 +170,96 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
-def test_local_links_in_blocks(monkeypatch):
-    rng = np.random.default_rng(5)
-    x = np.concatenate([c + rng.normal(size=(n, 64)) * 0.05 for c, n in zip(rng.normal(size=(30, 64)), rng.integers(1, 9, 30))])
+def coded(x):
     u = vx.unit(x.astype(np.float32))
     code, scale, err = vx.encode(u)
-    y = code.astype(np.float32) * scale[:, None]
-    whole, _ = vx.local_links(y, err, 0.92)
-    monkeypatch.setattr(vx, "BLOCK", 7)
-    parts, _ = vx.local_links(y, err, 0.92)
-    assert (whole == parts).all() and len(np.unique(whole)) == 30
-    assert (np.abs(u - y) ** 2).sum(1).max() <= (err.max() + 1e-4) ** 2
+    e = float(err.max())
+    return u, code.astype(np.float32) * scale[:, None], 2 * e + e * e + 1e-5
+
+
+@pytest.mark.parametrize("link", [clusters.leaf_links, neighbours.projected_links])
+def test_links_of_a_cell(monkeypatch, link):
+    rng = np.random.default_rng(5)
+    # tight groups, wide ones that are chains of leaves, and rows on their own
+    near = [c + rng.normal(size=(n, 64)) * s for c, n, s in zip(rng.normal(size=(60, 64)), rng.integers(1, 30, 60), rng.choice([0.02, 0.1, 0.27, 0.3], 60))]
+    u, y, slack = coded(np.concatenate([*near, rng.normal(size=(300, 64))]))
+    assert (np.abs(u - y) ** 2).sum(1).max() <= slack
+    want = vx.closed(u, 0.92 - vx.HALF_UNIT)
+    for block, most in ((1024, 4096), (7, 4096), (64, 200)):
+        monkeypatch.setattr(vx, "BLOCK", block)
+        label, doubt = link(y, slack, 0.92, most)
+        assert (want[label] == want).all()  # nothing is joined that isn't
+        at = np.flatnonzero(doubt)
+        again = vx.closed(u[at], 0.92 - vx.HALF_UNIT)
+        label = vx.lowest(label, at, at[again])
+        assert (label == want).mean() >= (1 if most == 4096 else 0.99)
+
+
+@pytest.mark.parametrize("link", [clusters.leaf_links, neighbours.projected_links])
+def test_a_cell_of_borderline_vectors_stays_small(link):
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    _, y, slack = coded(rng.normal(size=64) + rng.normal(size=(8192, 64)) * 0.295)
+    tracemalloc.start()
+    label, doubt = link(y, slack, 0.92)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6
+    assert len(label) == len(doubt) == 8192
+
+
+def test_compact_leaves():
+    rng = np.random.default_rng(15)
+    x = vx.unit(np.concatenate([c + rng.normal(size=(n, 64)) * 0.1 for c, n in zip(rng.normal(size=(20, 64)), rng.integers(1, 60, 20))] + [np.ones((40, 64))]).astype(np.float32))
+    leaf, medoid, low = trees.compact_leaves(x, 0.92)
+    assert len(leaf) == len(x) and sorted(set(leaf)) == list(range(len(medoid)))
+    assert (leaf[medoid] == np.arange(len(medoid))).all()
+    for i, m in enumerate(medoid):
+        s = x[leaf == i] @ x[m]
+        assert abs(s.min() - low[i]) < 1e-6 and s.min() >= 0.92 - 1e-6
+    assert len(medoid) == 21
+    assert len(trees.compact_leaves(x[:0], 0.92)[0]) == 0
+    assert trees.compact_leaves(np.ones((9, 4)) / 2, 0.9)[0].max() == 0
+    # pulled apart by peeling: an end is reached
+    line = vx.unit(np.stack([np.cos(np.geomspace(1e-6, 1.5, 3000)), np.sin(np.geomspace(1e-6, 1.5, 3000))], 1).astype(np.float32))
+    assert trees.compact_leaves(line, 0.9999999)[2].min() >= 0.9999998
+
+
+def test_leaves_of_the_tree(spark):
+    chunks, live = synthetic(3, copies=20)
+    classes, dup = classes_of(spark, chunks, live)
+    got = clusters.leaves(classes).collect()
+    vec = usable(chunks, live)
+    assert sum(r["size"] for r in got) == len(vec)
+    assert len({r["leaf_id"] for r in got}) == len(got)
+    for r in got:
+        assert r["least_near"] >= 0.92 and 1 <= len(r["typical"]) <= min(3, r["size"])
+        m = vx.unit(np.stack([vec[i] for i in [r["leaf_id"], *r["typical"]]]).astype(np.float32))
+        assert (m @ m[0]).min() >= 0.92 - 1e-6
+    assert clusters.leaves(classes_of(spark, [], [])[0]).count() == 0
+
+
+def test_complete_search(spark):
+    chunks, live = synthetic(6, copies=40)
+    vec = usable(chunks, live)
+    ids = np.array(sorted(vec))
+    u = vx.unit(np.stack([vec[i] for i in ids]).astype(np.float32))
+    classes, dup = classes_of(spark, chunks, live)
+    for kw in ({}, {"leaf_rows": 40, "most": 20, "certainty": 0.999999}):
+        got = {}
+        for r in neighbours.nearest_of(classes, dup, F.col("id") % 3 == 0, **kw).collect():
+            got.setdefault(r["id"], []).append((r["rank"], r["other"], r["score"]))
+        assert set(got) == {i for i in ids if i % 3 == 0}
+        right = 0
+        for i, q in enumerate(ids):
+            if q % 3 == 0:
+                s = np.round(u @ u[i], 6)
+                s[i] = -3
+                best = np.lexsort((ids, -s))[:3]
+                right += [(int(ids[j]), s[j]) for j in best] == [(o, v) for _, o, v in sorted(got[q])]
+        assert right >= 0.99 * len(got)
+    assert neighbours.nearest_of(*classes_of(spark, [], []), F.col("id") % 3 == 0).count() == 0
 
 
 def test_trees_route_every_row():
@@ -192,13 +271,16 @@ def test_trees_route_every_row():
         assert leaf.min() >= 0 and leaf.max() < tree.leaves
         assert len(set(zip(row, leaf))) == len(row)
         assert np.bincount(leaf[rank == 0], minlength=tree.leaves).max() <= 400
+        row, leaf, rank = tree.probe(feats[:50], None)
+        assert len(set(zip(row, leaf))) == len(row) == 50 * tree.leaves
     same = trees.fit_bisecting(np.ones((50, 64), np.float32), 8, 4)
     assert same.leaves == 1 and same.probe(np.ones((3, 64), np.float32), 3)[1].tolist() == [0, 0, 0]
 
 
 def test_chi_square():
-    assert abs(neighbours.chi_square_cdf(np.array(21.026), 12) - 0.95) < 1e-4
+    assert abs(neighbours.chi_square_cdf(21.026, 12) - 0.95) < 1e-4
     assert abs(neighbours.chi_square_quantile(0.95, 12) - 21.026) < 1e-2
+    assert abs(neighbours.chi_square_cdf(7.815, 3) - 0.95) < 1e-4 and abs(neighbours.chi_square_cdf(3.841, 1) - 0.95) < 1e-4
     rng = np.random.default_rng(7)
     v = rng.normal(size=(4000, 64))
     ratio = ((v @ neighbours.projection(64)) ** 2).sum(1) / (v * v).sum(1)
