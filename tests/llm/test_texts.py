@@ -5,6 +5,7 @@ import random
 import re
 import unicodedata
 
+import numpy as np
 import pytest
 
 from ridgevec.llm import leaks, spam, tokenize
@@ -146,18 +147,32 @@ def test_leaks_against_brute_force(spark):
             if d is not None and i is not None and any(tuple(iw[k : k + 12]) in have for k in range(len(iw) - 11)):
                 want.add((d, i))
     table = spark.createDataFrame([(i, t, "x", 1) for i, t in items], "item_id bigint, text string, lang string, doc_id int")
-    for block in (1 << 24, 200):
-        got = [(r["doc_id"], r["item_id"]) for r in leaks.leaks(docs(spark, rows), table, block_bytes=block).collect()]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for size in (limit, "-1"):  # signatures joined by broadcast and by shuffle
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+        try:
+            got = [(r["doc_id"], r["item_id"]) for r in leaks.leaks(docs(spark, rows), table).collect()]
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
         assert set(got) == want and len(got) == len(set(got))
     assert leaks.leaks(docs(spark, []), table).count() == 0
     assert leaks.leaks(docs(spark, rows), table.limit(0)).count() == 0
 
 
-def test_equal_runs_have_equal_minhashes():
+def test_equal_runs_have_equal_signatures():
     h = leaks.Hasher()
     a, b = "a b c d e f g h i j k l m n".split(), "z z a b c d e f g h i j k l y".split()
-    assert leaks.minhashes(h.numbers(a))[0] in leaks.minhashes(h.numbers(b))
-    assert len(leaks.minhashes(h.numbers(a[:11]))) == 0
+    assert leaks.signatures(h.numbers(a))[0] in leaks.signatures(h.numbers(b))
+    assert len(leaks.signatures(h.numbers(a[:11]))) == 0
+    rng = np.random.default_rng(2)
+    ids = rng.integers(0, 500, 5000).astype(np.uint64)
+    # neighbours mostly share a signature
+    assert len(np.unique(leaks.signatures(ids))) < 0.6 * 4989
+
+
+def test_containment_as_jaccard():
+    assert leaks.jaccard(1.0, 8, 8) == 1.0
+    assert abs(leaks.jaccard(0.5, 10, 40) - 5 / 45) < 1e-12
 
 
 # -- spam ---------------------------------------------------------------------
