@@ -218,6 +218,17 @@ def test_spam_counts_are_over_documents(spark):
     assert s.docs == 3 and s.pair_docs.tolist() == [3] and sorted(s.word_docs.tolist()) == [3, 3]
 
 
+def test_cases_are_suspect_by_their_mean_pmi(spark, monkeypatch):
+    """Without any look at forms, keyword pages and lists come out as suspect,
+    and a division list doesn't."""
+    rows, bad, good = corpus()
+    monkeypatch.setattr(spam, "marks", lambda text, n: None)
+    part = {r["doc_id"]: r["incoherent"] for r in spam.scores(docs(spark, rows + bad + good)).collect()}
+    assert all(part[i] > spam.CASE for i, _ in bad)
+    assert part[2000] <= spam.CASE
+    assert sum(part[i] > spam.CASE for i, _ in rows) < 0.6 * len(rows)  # so few words come back a lot
+
+
 def found(df):
     return {r["doc_id"] for r in df.where("share > 0.5").select("doc_id").distinct().collect()}
 
@@ -250,8 +261,8 @@ def test_rare_pairs_count_too(spark):
     """With next to nothing in the driver's table the figures are the same."""
     rows, bad, good = corpus()
     every = docs(spark, rows + bad + good + bad[:3] + [(3000, None), (3001, "")])
-    take = lambda **kw: sorted((r["doc_id"], r["share"], r["mean_pmi"]) for r in spam.scores(every, **kw).collect())
+    take = lambda **kw: sorted((r["doc_id"], r["share"], r["incoherent"], r["mean_pmi"]) for r in spam.scores(every, **kw).collect())
     want = take(rare=0.0)
     assert take(rare=2e-3) == want
-    cases = {i for i, share, _ in want if share > spam.CASE}
-    assert {i for i, share, _ in take(rare=2e-3, above=spam.CASE) if share > spam.CASE} == cases == {i for i, _ in bad}
+    cases = {i for i, share, *_ in want if share > spam.CASE}
+    assert {i for i, share, *_ in take(rare=2e-3, above=spam.CASE) if share > spam.CASE} == cases == {i for i, _ in bad}
