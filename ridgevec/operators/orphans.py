@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgevec.session import table
+from ridgevec.session import table, written
 
 #: A key is heavy from this part of all folded references on; also the bound
 #: of the number of heavy keys.
@@ -50,9 +50,11 @@ def references(refs: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
 def orphans(refs: DataFrame, states: DataFrame) -> DataFrame:
     """Orphan references with the first reason that fits; a reference without
     a time can't be late."""
+    refs = written(refs, "refs")
     sizes = refs.groupBy("sid").agg(F.count(F.lit(1)).alias("n"))
     total = sizes.agg(F.sum("n").alias("total"))
     heavy = sizes.join(F.broadcast(total), F.col("n") * HEAVY_PARTS > F.col("total")).select("sid")
+    heavy = written(heavy, "heavy")
     marked = refs.join(F.broadcast(heavy.withColumn("heavy", F.lit(True))), "sid", "left")
     heavy_states = states.join(F.broadcast(heavy), "sid", "left_semi")
     hot = marked.where("heavy").drop("heavy").join(F.broadcast(heavy_states), "sid", "left")

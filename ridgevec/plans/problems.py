@@ -10,6 +10,7 @@ QUERIES = {
     "p4_found": orphans.p4_found,
     "p4_report": orphans.p4_report,
     "p5_found": changefeed.p5_found,
+    "p5_batches": changefeed.p5_batches,
 }
 
 _CUR = """cur AS (
@@ -55,3 +56,4 @@ img AS (
 fold AS (SELECT db_name, id, arg_max(op, seq) AS op, max(seq) AS seq FROM img WHERE id IS NOT NULL GROUP BY 1, 2)
 SELECT db_name, id, seq::INT AS last_seq FROM fold WHERE op = 'upsert'""",
 }
+SQL["p5_batches"] = SQL["p5_found"]

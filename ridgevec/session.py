@@ -37,12 +37,17 @@ def written(df: DataFrame, tag: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ridgevec-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    remove_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Removes a folder when the driver ends."""
+    atexit.register(_remove, spark, path)
+
+
 def forget(df: DataFrame) -> None:
     """Removes a written table that nothing reads any more."""
     path = getattr(df, "_written_at", None)
