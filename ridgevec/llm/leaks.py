@@ -148,7 +148,8 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, shingle: int =
     keys = written(signed(asked, run, shingle).distinct(), "signatures").withColumnRenamed("id", "item_id")
     pairs = signed(docs, run, shingle).join(keys, "signature").select(F.col("id").alias("doc_id"), "item_id").distinct()
     pairs = written(pairs, "candidates")
-    both = pairs.join(asked.select(F.col("id").alias("item_id"), F.col("text").alias("item")), "item_id").join(docs.select(F.col("id").alias("doc_id"), "text"), "doc_id")
+    # with the pairs first, so that no other document's text travels where they are few
+    both = docs.select(F.col("id").alias("doc_id"), "text").join(pairs, "doc_id").join(asked.select(F.col("id").alias("item_id"), F.col("text").alias("item")), "item_id")
 
     def verify(batches):
         # a document's rows mostly follow each other; so few items are asked for that theirs are kept
