@@ -102,8 +102,12 @@ class Words:
 
 
 def pairs(h: np.ndarray) -> np.ndarray:
+    return joined(h[:-1], h[1:])
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        x = (h[:-1] * np.uint64(MIX)) ^ (h[1:] + np.uint64(0x632BE59BD9B4E019))
+        x = (a * np.uint64(MIX)) ^ (b + np.uint64(0x632BE59BD9B4E019))
         x = (x ^ (x >> np.uint64(31))) * np.uint64(MIX)
         return x ^ (x >> np.uint64(29))
 
@@ -293,34 +297,50 @@ def smoothed(x: np.ndarray) -> np.ndarray:
 
 
 def often(keys: np.ndarray) -> np.ndarray:
-    _, which, count = np.unique(keys, return_inverse=True, return_counts=True)
-    return count[which] >= REPEATS
+    """Which keys come at least ``REPEATS`` times."""
+    ordered = np.sort(keys)
+    back = ordered[REPEATS - 1 :]
+    back = back[back == ordered[: len(back)]]
+    if not len(back):
+        return np.zeros(len(keys), bool)
+    at = np.searchsorted(back, keys)
+    at[at == len(back)] = 0
+    return back[at] == keys
+
+
+def recurring(h: np.ndarray) -> np.ndarray:
+    """Words of windows where words come back."""
+    return smoothed(often(h)) >= RECURRING
 
 
-def incoherent(h: np.ndarray, value: np.ndarray) -> float:
+def incoherent(h: np.ndarray, value: np.ndarray, back: np.ndarray) -> float:
     """Part of a text's words in windows of low mean PMI where words come back."""
     padded = np.concatenate([[UNATTESTED], np.minimum(value, 0), [UNATTESTED]])
     word = (padded[:-1] + padded[1:]) / 2
-    for gap, keys in ((1, pairs(h)), (2, pairs(np.stack([h[:-2], h[2:]], 1).ravel())[::2])):
-        again = often(keys)
+    for gap in (1, 2):
+        again = often(joined(h[:-gap], h[gap:]))
         word[:-gap][again] = UNATTESTED
         word[gap:][again] = UNATTESTED
-    low = smoothed(word) <= INCOHERENT
-    return float((low & (smoothed(often(h)) >= RECURRING)).mean())
+    return float((back & (smoothed(word) <= INCOHERENT)).mean())
 
 
-def judge(text: str | None, reader: Words, stats: Statistics, more: Statistics | None = None) -> tuple[float, float, float]:
+def judge(text: str | None, reader: Words, stats: Statistics, more: Statistics | None = None, above: float = -1.0) -> tuple[float, float, float]:
     """Share of a text's words that lie in spam (0 unless the text is suspect),
     of its incoherent words, and the mean PMI of its neighbours (0 for fewer
-    than two words)."""
+    than two words). Where so few words come back that the incoherent can't be
+    more than ``above``, that bound is given for them, and no PMI."""
     if not text:
         return 0.0, 0.0, 0.0
     words, h = reader.of(text)
     n = len(words)
     if n < REPEATS:
         return 0.0, 0.0, 0.0
+    back = recurring(h)
+    bound = float(back.mean())
+    if bound <= above:
+        return 0.0, bound, 0.0
     value = stats.pmi(h, more)
-    mean, part = float(value.mean()), incoherent(h, value)
+    mean, part = float(value.mean()), incoherent(h, value, back)
     if part <= CASE:
         return 0.0, part, mean
     padded = np.concatenate([[UNATTESTED], value, [UNATTESTED]])
@@ -347,7 +367,7 @@ def scores(documents: DataFrame, rare: float = RARE, above: float = -1.0) -> Dat
         reader = Words()
         for b in batches:
             texts = b.column(1).to_pylist()
-            got = [judge(t, reader, stats) for t in texts]
+            got = [judge(t, reader, stats, above=above) for t in texts]
             # only these need the rare counts as well
             more = [t if stats.partial and t and g[0] > above else None for t, g in zip(texts, got)]
             yield pa.record_batch([b.column(0), *_figures(got), pa.array(more, pa.string())], names=["doc_id", "share", "incoherent", "mean_pmi", "text"])
