@@ -7,6 +7,7 @@ search is a plan over it.
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from ridgevec.functions import generators, scores
 from ridgevec.operators import ivf, maintenance, store
 from ridgevec.operators import search as srch
-from ridgevec.session import written
+from ridgevec.session import Former, written
 from ridgevec.sources.snapshots import SnapshotStore
 
 ROWS = "id string, internal_id bigint, vec array<float>, meta string"
@@ -39,6 +40,7 @@ class VectorDB:
         self._next = 0
         self._index: ivf.IvfIndex | None = None
         self._lists: DataFrame | None = None
+        self._former = Former()
 
     @classmethod
     def open(cls, spark: SparkSession, dimensions: int, metric: str = "cosine", **kw) -> VectorDB:
@@ -96,7 +98,34 @@ class VectorDB:
         top = self._rows.agg(F.max("internal_id").alias("m")).first()["m"]
         self._next = max(self._next, -1 if top is None else top) + (top is not None and top >= self._next)
         if self._index is not None:
-            self._lists = written(ivf.assign(self._rows, self._index), "lists")
+            # only the rows of the change are assigned; all others keep their list
+            ids, lists = change.select("id").distinct(), self._lists
+            put = self._rows.join(ids, "id", "left_semi").withColumn("op", F.lit("upsert"))
+            gone = ids.join(self._rows.select("id"), "id", "left_anti").withColumn("op", F.lit("delete"))
+            delta = put.unionByName(gone, allowMissingColumns=True)
+            self._lists = written(ivf.apply_delta(lists, delta, self._index), "lists")
+            self._former.add(lists)
+        self._former.add(base)
+
+    # -- export and restore -------------------------------------------------
+    def snapshot(self) -> dict:
+        """The state as a value: settings and a written table of its rows."""
+        self._flush()
+        rows = written(self._rows, "export") if self._next else self._rows
+        return {"dim": self.dim, "metric": self.metric, "next_id": self._next, "rows": rows}
+
+    def restore(self, state: Mapping) -> None:
+        """Takes the state of a snapshot instead of its own; another dimension
+        or metric is an error. Lists are to be built again."""
+        if state["dim"] != self.dim or state["metric"] != self.metric:
+            raise ValueError("the snapshot's dim and metric differ from the database's")
+        self._small, self._index, self._lists = [], None, None
+        self._rows, self._next = written(state["rows"].select("id", "internal_id", "vec", "meta"), "db"), state["next_id"]
+
+    def export_rows(self) -> DataFrame:
+        """``(internal_id, id, meta)`` in order of internal id."""
+        self._flush()
+        return self._rows.select("internal_id", "id", "meta").orderBy("internal_id")
 
     # -- reads ------------------------------------------------------------
     def rows(self) -> DataFrame:
@@ -173,8 +202,12 @@ class PersistentVectorDB:
     def upsert_batch(self, rows: DataFrame) -> int:
         return self.store.append(rows.withColumn("op", F.lit("upsert")))
 
-    def delete(self, id: str) -> int:
-        return self.store.append(self.spark.createDataFrame([("delete", id, None, None)], "op string, id string, vec array<float>, meta string"))
+    def delete(self, id: str) -> bool:
+        """Whether there was such an id; if not, nothing is noted."""
+        there = self.get(id).limit(1).count() > 0
+        if there:
+            self.store.append(self.spark.createDataFrame([("delete", id, None, None)], "op string, id string, vec array<float>, meta string"))
+        return there
 
     def get(self, id: str) -> DataFrame:
         return self.store.get(id)
@@ -189,16 +222,59 @@ class PersistentVectorDB:
         """A snapshot holds no dead rows, so taking one compacts."""
         return self.store.save()
 
-    def maintain(self, policy: maintenance.Policy, now_ms: int) -> dict:
-        """Acts on the policy and returns what was done."""
+    def stats(self, ivf_stats: Mapping | None = None) -> dict:
+        """Counts, dead ratios, the dead tail, header and list figures. Ids that
+        the snapshot has and the view hasn't any more are dead."""
+        base, _, next_id = self.store._base()
+        view = self.store.load()
+        rows = view.select("id", "internal_id", F.lit(False).alias("deleted"))
+        lost = base.select("internal_id").join(rows, "internal_id", "left_anti").select(F.lit(None).cast("string").alias("id"), "internal_id", F.lit(True).alias("deleted"))
+        both = rows.unionByName(lost)
+        top = both.agg(F.coalesce(F.max("internal_id") + 1, F.lit(0)).alias("n")).first()["n"]
+        out = store.store_stats(both, self.store.dim, self.store.chunk_rows, max(next_id, top)).first().asDict()
         m = self.store.latest()
-        base, seq, next_id = self.store._base()
-        rows = self.store.load().select("id", "internal_id", F.lit(False).alias("deleted"))
-        lost = base.join(rows, "internal_id", "left_anti").select(F.lit(None).cast("string").alias("id"), "internal_id", F.lit(True).alias("deleted"))
-        stats = store.store_stats(rows.unionByName(lost), self.store.dim, self.store.chunk_rows)
-        stats = stats.withColumn("last_snapshot_at", F.lit(m["created_at"] if m else None).cast("bigint"))
-        do = maintenance.evaluate(stats, policy, now_ms).first()
-        done = {"trim": do["do_trim"], "ivf_rebuild": do["do_ivf_rebuild"], "snapshot_id": None}
+        head = {"journal_seq": self.store.meta_state()["last_seq"], "last_snapshot_at": m and m["created_at"]}
+        return {k: out.get(k, v) for k, v in maintenance.EMPTY.items()} | head | maintenance.list_report(view, ivf_stats)
+
+    def maintain(self, policy: maintenance.Policy, now_ms: int | None = None) -> dict:
+        """Acts on the policy: ``{"stats": ..., "actions": ...}``, the figures
+        as they are afterwards. A trim gives the dead tail's ids and chunks
+        back; it lasts if a snapshot is taken in the same run. An index is never
+        rebuilt here, only called for."""
+        now_ms = int(time.time() * 1000) if now_ms is None else now_ms
+        before = self.stats()
+        kinds = "dead_ratio double, tail_dead_count bigint, last_snapshot_at bigint"
+        row = [(before["dead_ratio"], before["tail_dead_count"], before["last_snapshot_at"])]
+        do = maintenance.evaluate(self.spark.createDataFrame(row, kinds), policy, now_ms).first()
+        actions: dict = {}
+        tail = before["tail_dead_count"]
+        if do["do_trim"]:
+            new = before["next_id"] - tail
+            chunks = lambda n: -(-n // self.store.chunk_rows)
+            actions |= {"trimmed_chunks": chunks(before["next_id"]) - chunks(new), "new_next_id": new}
         if do["do_snapshot"]:
-            done["snapshot_id"] = self.store.save()
-        return done
+            actions["snapshot_id"] = self.store.save(trim=do["do_trim"])
+        if do["do_ivf_rebuild"]:
+            actions["ivf_rebuild"] = True
+        after = self.stats(policy.ivf_stats)
+        if do["do_trim"] and not do["do_snapshot"]:
+            new, total = actions["new_next_id"], after["live_count"] + after["deleted_count"] - tail
+            dead = after["deleted_count"] - tail
+            after |= {"next_id": new, "deleted_count": dead, "dead_ratio": round(dead / total, 6) if total else 0.0, "tail_dead_count": 0, "tail_dead_ratio": 0.0, "chunks": -(-new // self.store.chunk_rows)}
+        return {"stats": after, "actions": actions}
+
+    def request(self, kind: str, policy: maintenance.Policy | None = None) -> dict:
+        """A maintenance request: ``stats``, ``run`` or ``snapshot``. What fails
+        is told in ``error``, with the figures of an empty store."""
+        try:
+            policy = policy or maintenance.Policy()
+            if kind == "stats":
+                return {"stats": self.stats(policy.ivf_stats), "actions": {}}
+            if kind == "run":
+                return self.maintain(policy)
+            if kind == "snapshot":
+                actions = {"snapshot_id": self.store.save()}
+                return {"stats": self.stats(), "actions": actions}
+            raise ValueError("kind must be stats, run or snapshot")
+        except Exception as e:  # noqa: BLE001
+            return {"stats": dict(maintenance.EMPTY), "actions": {}, "error": str(e)}

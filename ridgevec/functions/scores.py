@@ -51,6 +51,31 @@ def add(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: (x + y).cast("float"))
 
 
+def _total32(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0).cast("float"), lambda s, x: s + x)
+
+
+def dot32(a: Column, b: Column) -> Column:
+    """As ``dot``, but each product and sum is rounded to 32 bits."""
+    return _total32(F.zip_with(a, b, lambda x, y: x * y))
+
+
+def l2sq32(a: Column, b: Column) -> Column:
+    """Squared distance, rounded to 32 bits at each step."""
+    return _total32(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)))
+
+
+def norm32(v: Column) -> Column:
+    """Root, in double precision, of a sum of squares rounded at each step."""
+    return F.sqrt(dot32(v, v).cast("double"))
+
+
+def cosine32(a: Column, b: Column) -> Column:
+    """Of 32-bit sums; minus infinity if either vector is zero."""
+    n, m = norm32(a), norm32(b)
+    return F.when((n == 0) | (m == 0), F.lit(float("-inf"))).otherwise(dot32(a, b).cast("double") / (n * m))
+
+
 def query_vector(query: Sequence[float], dim: int | None = None) -> np.ndarray:
     """The query rounded to 32 bits; a wrong length is an error."""
     q = np.asarray(query, dtype=np.float32)

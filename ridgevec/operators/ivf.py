@@ -73,10 +73,11 @@ def assign(vectors: DataFrame, index: IvfIndex) -> DataFrame:
     return vectors.select(*[f.name for f in fields]).mapInArrow(run, schema)
 
 
-def write_lists(assigned: DataFrame, path: str) -> None:
-    """One folder a list; a hot list is written by many tasks, as nothing is
-    shuffled by list."""
+def write_lists(assigned: DataFrame, path: str) -> DataFrame:
+    """One folder a list, read back; a hot list is written by many tasks, as
+    nothing is shuffled by list."""
     assigned.write.mode("overwrite").partitionBy("list_id").parquet(path)
+    return assigned.sparkSession.read.schema(assigned.schema).parquet(path)
 
 
 def probes(index: IvfIndex, query: np.ndarray, nprobe: int) -> list[int]:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridgevec.operators import ivf
+from ridgevec.session import written
+
 
 @dataclass(frozen=True)
 class Policy:
@@ -17,6 +21,9 @@ class Policy:
     snapshot_min_interval_ms: int | None = None
     ivf_rebuild: bool = False
     ivf_rebuild_if_dead_ratio: float | None = None
+    #: Settings of a throw-away index for list statistics: ``nlist`` and, if
+    #: wanted, ``iters``, ``seed``, ``sample`` and ``metric``.
+    ivf_stats: Mapping | None = None
 
 
 def evaluate(stats: DataFrame, policy: Policy, now_ms: int | Column) -> DataFrame:
@@ -37,6 +44,24 @@ def evaluate(stats: DataFrame, policy: Policy, now_ms: int | Column) -> DataFram
     return stats.withColumns({"do_trim": trim, "do_snapshot": snap, "do_ivf_rebuild": rebuild})
 
 
+#: Figures of a report, as those of an empty store (fixed values).
+EMPTY = {"live_count": 0, "deleted_count": 0, "dead_ratio": 0.0, "tail_dead_count": 0, "tail_dead_ratio": 0.0, "next_id": 0, "id_count": 0, "chunk_rows": 0, "chunks": 0}
+
+
+def list_report(rows: DataFrame, settings: Mapping | None) -> dict:
+    """List sizes, imbalance and deviation of an index trained on ``(internal_id,
+    vec)`` for this report alone. Without settings, without a positive whole
+    ``nlist``, or without rows there are none."""
+    nlist = (settings or {}).get("nlist")
+    if not isinstance(nlist, int) or isinstance(nlist, bool) or nlist <= 0 or not rows.limit(1).count():
+        return {}
+    more = {k: settings[k] for k in ("iters", "seed", "sample") if settings.get(k) is not None}
+    index = ivf.train(rows, nlist, metric=settings.get("metric", "dot"), **more)
+    sizes = written(ivf.list_sizes(ivf.assign(rows, index), index), "sizes")
+    figures = ivf.list_stats(sizes).first()
+    return {"list_sizes": [r["size"] for r in sizes.orderBy("list_id").collect()], **figures.asDict()}  # a row a list
+
+
 def latest_reports(reports: DataFrame) -> DataFrame:
     """Each store's last report (ties: the one that sorts last)."""
     cols = [c for c in reports.columns if c not in ("db_name", "reported_at")]

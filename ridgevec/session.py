@@ -55,6 +55,19 @@ def forget(df: DataFrame) -> None:
         _remove(df.sparkSession, path)
 
 
+class Former:
+    """Written tables that newer ones have replaced. The last few stay, for
+    plans over them that haven't run yet."""
+
+    def __init__(self, keep: int = 8):
+        self.keep, self.tables = keep, []
+
+    def add(self, df: DataFrame) -> None:
+        self.tables.append(df)
+        while len(self.tables) > self.keep:
+            forget(self.tables.pop(0))
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

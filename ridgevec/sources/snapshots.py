@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgevec.operators import store
+from ridgevec.session import Former, written
 
 ENTRY = "seq bigint, ts bigint, op string, id string, vec array<float>, meta string"
 ROWS = "id string, internal_id bigint, vec array<float>, meta string"
@@ -30,6 +31,8 @@ class SnapshotStore:
         if chunk_rows <= 0 or chunk_rows & (chunk_rows - 1):
             raise ValueError("chunk_rows must be a power of two")
         self.spark, self.path, self.dim, self.chunk_rows = spark, path.rstrip("/"), dim, chunk_rows
+        self._view: tuple[object, DataFrame] | None = None
+        self._former = Former()
 
     # -- files ----------------------------------------------------------
     def _fs(self, path: str):
@@ -113,24 +116,56 @@ class SnapshotStore:
             raise ValueError("the snapshot's dim and chunk_rows differ from the store's")
         return self.spark.read.schema(ROWS).parquet(f"{self.path}/snapshots/{m['snapshot_id']}/rows"), m["snapshot_seq"], m["next_id"]
 
+    def _now(self) -> tuple:
+        """What a folded view depends on: the snapshot and the batches."""
+        m = self.latest()
+        return m and m["snapshot_id"], tuple(self._batches())
+
     def load(self) -> DataFrame:
         """Live rows ``(id, internal_id, vec, meta)``: the latest snapshot with
         the later journal applied. Ids keep their internal id; new ones get the
-        next, in order of their last change."""
+        next, in order of their last change. Folded once and kept until the
+        journal or the snapshot moves; without a later journal the snapshot's
+        rows are the view."""
         base, seq, next_id = self._base()
-        now = store.replay(base.select("id", "vec", "meta"), self.journal(), seq, dim=self.dim)
-        known = base.select("id", "internal_id")
-        named = now.join(known, "id", "left")
-        old = named.where("internal_id IS NOT NULL").select("id", F.col("internal_id").cast("bigint").alias("internal_id"), "vec", "meta")
-        fresh = store.dense_ids(named.where("internal_id IS NULL").drop("internal_id"), "seq", next_id).select("id", "internal_id", "vec", "meta")
-        return old.unionByName(fresh)
+        now = self._now()
+        if self._view and self._view[0] == now:
+            return self._view[1]
+        if not any(b > seq for _, b, _ in now[1]):
+            view = base
+        else:
+            folded = store.replay(base.select("id", "vec", "meta"), self.journal(), seq, dim=self.dim)
+            named = folded.join(base.select("id", "internal_id"), "id", "left")
+            old = named.where("internal_id IS NOT NULL").select("id", F.col("internal_id").cast("bigint").alias("internal_id"), "vec", "meta")
+            fresh = store.dense_ids(named.where("internal_id IS NULL").drop("internal_id"), "seq", next_id).select("id", "internal_id", "vec", "meta")
+            view = written(old.unionByName(fresh), "view")
+        if self._view:
+            self._former.add(self._view[1])
+        self._view = now, view
+        return view
 
     def get(self, external_id: str) -> DataFrame:
-        return self.load().where(F.col("id") == external_id)
+        """One id. It is looked for in the snapshot and the journal before the
+        fold; only an id that the snapshot hasn't, whose internal id depends on
+        the others, needs the whole view."""
+        base, seq, _ = self._base()
+        mine = F.col("id") == external_id
+        row = base.where(mine).select("internal_id").first()
+        if row is None:
+            return self.load().where(mine)
+        folded = store.replay(base.where(mine).select("id", "vec", "meta"), self.journal().where(mine), seq, dim=self.dim)
+        return folded.select("id", F.lit(row["internal_id"]).cast("bigint").alias("internal_id"), "vec", "meta")
+
+    def meta_state(self) -> dict:
+        """The header: snapshot in use and last sequence number."""
+        m = self.latest()
+        return {"active_snapshot_id": m and m["snapshot_id"], "last_seq": self.last_seq()}
 
-    def save(self, break_before_manifest: bool = False) -> str:
+    def save(self, break_before_manifest: bool = False, trim: bool = False) -> str:
         """Folds, writes rows, then the manifest, then cuts the journal. The
-        sequence number is that of what was folded, not of a later head."""
+        sequence number is that of what was folded, not of a later head. With
+        ``trim`` the next internal id follows the last live one, so those of a
+        dead tail are given out again."""
         _, base_seq, base_next = self._base()
         upto = max([b for _, b, _ in self._batches()] + [base_seq])
         sid = f"{int(time.time() * 1000)}_{uuid.uuid4().hex[:12]}"
@@ -140,7 +175,7 @@ class SnapshotStore:
             return sid
         rows = self.spark.read.schema(ROWS).parquet(f"{where}/rows")
         top = rows.agg(F.max("internal_id").alias("m")).first()["m"]
-        next_id = max(base_next, (top + 1) if top is not None else 0)
+        next_id = max(0 if trim else base_next, (top + 1) if top is not None else 0)
         row = (sid, FORMAT, "complete", int(time.time() * 1000), self.dim, self.chunk_rows, next_id, upto)
         self.spark.createDataFrame([row], MANIFEST).coalesce(1).write.parquet(f"{where}/manifest")
         self.truncate(upto)

@@ -150,6 +150,27 @@ def test_lists_follow_changes(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "lists"))
     assert [r["internal_id"] for r in ivf.search(back, i, x[3], 3, 2).collect()][0] is not None
     assert len(os.listdir(tmp_path / "lists")) > 2
+    plan = ivf.search(back, i, x[3], 3, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "list_id" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_metrics_of_32_bits(spark):
+    f = np.float32
+    rows = [([0.1, 0.2, 3e7], [0.3, -0.7, 1.1]), ([0.0, 0.0, 0.0], [1.0, 2.0, 3.0]), (None, [1.0, 2.0, 3.0])]
+    v, q = F.col("a"), F.col("b")
+    got = spark.createDataFrame(rows, "a array<float>, b array<float>").select(scores.dot32(v, q), scores.l2sq32(v, q), scores.norm32(v), scores.cosine32(v, q)).collect()
+
+    def total(xs):
+        s = f(0)
+        for x in xs:
+            s = f(s + x)
+        return float(s)
+
+    a, b = (np.array(x, f) for x in rows[0])
+    dot, n, m = total(a * b), np.sqrt(total(a * a)), np.sqrt(total(b * b))
+    assert tuple(got[0]) == (dot, total((a - b) * (a - b)), n, dot / (n * m))
+    assert tuple(got[1]) == (0.0, 14.0, 0.0, float("-inf"))
+    assert tuple(got[2])[:3] == (None, None, None)
 
 
 def test_kmeans_rules():
@@ -210,9 +231,13 @@ def test_policy(spark):
 
 
 def test_gates_and_percentiles(spark):
-    f = spark.createDataFrame([("search_p95_ms", 81.0), ("ivf_recall", 0.9), ("ivf_speedup", None)], "name string, value double")
+    f = spark.createDataFrame([("search_p95_ms", 81.0), ("ivf_recall_at_10", 0.9), ("ivf_speedup", None)], "name string, value double")
     got = {r["gate"]: r["status"] for r in evaluation.gates(f).collect()}
-    assert got == {"search_p95_ms_max": "fail", "ivf_recall_min": "pass", "ivf_speedup_min": "skip", "ingest_p95_ms_max": "skip", "warm_start_ms_max": "skip", "frame_p95_ms_max": "skip"}
+    assert got == {"search_p95_ms_max": "fail", "ivf_recall_at_10_min": "pass", "ivf_speedup_min": "skip", "ingest_p95_ms_max": "skip", "warm_start_ms_max": "skip", "frame_p95_ms_max": "skip"}
+    odd = evaluation.gates(f, {"search_p95_ms_about": 5.0, "ivf_recall_at_10_max": 0.5})
+    assert {r["gate"]: r["status"] for r in odd.collect()} == {"search_p95_ms_about": "skip", "ivf_recall_at_10_max": "fail"}
+    ms = lambda *x: spark.createDataFrame([(float(v),) for v in x], "ms double")
+    assert evaluation.speedup(ms(10, 20, 30), ms(5, 10, 15)).first()["speedup"] == 2.0
     v = spark.createDataFrame([(float(x),) for x in [5, 1, 1, 3, 9, 7, 7, 2, 4, 8]] + [(None,)], "v double")
     xs = sorted([5, 1, 1, 3, 9, 7, 7, 2, 4, 8])
     r = evaluation.percentiles(v, "v", {"a": 0.5, "b": 0.95}).first()
@@ -306,7 +331,67 @@ def test_persistent_facade(spark, tmp_path):
     db.delete("a")
     assert db.get("a").count() == 0 and db.search([1, 0.1], 1).first()["id"] == "b"
     done = db.maintain(maintenance.Policy(snapshot_if_dead_ratio=0.3), 0)
-    assert done["snapshot_id"] and db.search([1, 0.1], 5).count() == 1
+    assert done["actions"]["snapshot_id"] and db.search([1, 0.1], 5).count() == 1
+
+
+def test_maintenance_run(spark, tmp_path):
+    db = api.PersistentVectorDB(spark, f"file://{tmp_path}/m", 2, chunk_rows=4)
+    assert db.stats()["next_id"] == 0 and db.stats(ivf_stats={"nlist": 2})["last_snapshot_at"] is None
+    rows = [(f"k{i}", [float(i), 1.0], i) for i in range(10)]
+    db.upsert_batch(spark.createDataFrame(rows, "id string, vec array<float>, ord int"))
+    db.snapshot_now()
+    assert not db.delete("nobody")
+    assert all(db.delete(k) for k in ("k8", "k9", "k3"))
+    s = db.stats(ivf_stats={"nlist": 3, "iters": 2})
+    assert (s["live_count"], s["deleted_count"], s["tail_dead_count"], s["next_id"], s["chunks"], s["journal_seq"]) == (7, 3, 2, 10, 3, 13)
+    assert sum(s["list_sizes"]) == 7 and len(s["list_sizes"]) == 3 and s["list_imbalance"] >= 1
+    assert db.stats(ivf_stats={"nlist": 0}).get("list_sizes") is None
+    # a trim without a snapshot is told, but doesn't last
+    done = db.maintain(maintenance.Policy())
+    assert done["actions"] == {"trimmed_chunks": 1, "new_next_id": 8}
+    assert (done["stats"]["next_id"], done["stats"]["tail_dead_count"], done["stats"]["deleted_count"]) == (8, 0, 1)
+    assert db.stats()["next_id"] == 10
+    assert db.maintain(maintenance.Policy(trim_tail=False, ivf_rebuild_if_dead_ratio=0.1))["actions"] == {"ivf_rebuild": True}
+    done = db.maintain(maintenance.Policy(snapshot=True, ivf_stats={"nlist": 2}))
+    assert done["actions"]["trimmed_chunks"] == 1 and done["stats"]["next_id"] == 8 and sum(done["stats"]["list_sizes"]) == 7
+    db.upsert("new", [5, 5])
+    assert db.get("new").first()["internal_id"] == 8 and db.get("k7").first()["internal_id"] == 7
+    assert db.request("snapshot")["actions"]["snapshot_id"] == db.store.meta_state()["active_snapshot_id"]
+    assert db.request("stats")["stats"]["live_count"] == 8 and db.request("run")["actions"] == {}
+    told = db.request("what")
+    assert told["error"] and told["stats"] == maintenance.EMPTY
+
+
+def test_view_is_kept_until_the_journal_moves(spark, tmp_path):
+    db = api.PersistentVectorDB(spark, f"file://{tmp_path}/v", 2)
+    db.upsert("a", [1, 0])
+    first = db.store.load()
+    assert db.store.load() is first
+    db.snapshot_now()
+    db.upsert("a", [0, 1], {"k": 2})
+    assert db.store.load() is not first
+    got = db.get("a")
+    assert got.first()["vec"] == [0.0, 1.0] and got.first()["internal_id"] == 0 and got.first()["meta"] == '{"k": 2}'
+
+
+def test_export_and_restore(spark):
+    db = api.VectorDB(spark, 4)
+    assert db.export_rows().count() == 0
+    db.generate(5, 20)
+    db.delete("id_4")
+    state = db.snapshot()
+    db.delete("id_5")
+    other = api.VectorDB(spark, 4)
+    other.upsert("old", [1, 2, 3, 4])
+    other.restore(state)
+    rows = other.export_rows().collect()
+    assert [r["internal_id"] for r in rows] == sorted(r["internal_id"] for r in rows) and len(rows) == 19
+    assert other.size() == 19 and other.get("old").count() == 0 and other.get("id_5").count() == 1
+    other.upsert("next", [1, 0, 0, 0])
+    assert other.get("next").first()["internal_id"] == 20
+    for bad in (api.VectorDB(spark, 3), api.VectorDB(spark, 4, "dot")):
+        with pytest.raises(ValueError):
+            bad.restore(state)
 
 
 def test_core_stands_without_the_llm_subpackage(tmp_path):
