@@ -657,7 +657,10 @@ _EVENT = "event_id bigint, ts timestamp, user_id bigint, event_type string, valu
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ridgevec.streaming import feed
 
-    e = feed.read_journal(spark, sf_dir, _EVENT, pattern="events.parquet")
+    return _entries_of(feed.read_journal(spark, sf_dir, _EVENT, pattern="events.parquet"))
+
+
+def _entries_of(e: DataFrame) -> DataFrame:
     return e.select((F.col("event_id") + 1).alias("seq"), F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("op"), F.col("user_id").cast("string").alias("id"), (F.col("event_id") % 500).alias("vec_id"), F.when(F.col("event_id") % 3 == 0, F.col("props")).alias("meta"))
 
 
@@ -667,6 +670,22 @@ def stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.stream_fold(_event_stream(spark, sf_dir)).select("id", "seq")
 
 
+def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events arrive in four files; the stream stops after two and goes on
+    from its checkpoint, a file a micro-batch."""
+    from ridgevec.streaming import feed
+
+    base = f"{shared_dir(spark)}/ridgevec-restart-{uuid.uuid4().hex}"
+    remove_at_exit(spark, base)
+    events, out = table(spark, sf_dir, "events"), None
+    for half in range(2):
+        for part in (2 * half, 2 * half + 1):
+            events.where(F.pmod(F.xxhash64("event_id"), F.lit(4)) == part).coalesce(1).write.mode("append").parquet(f"{base}/events")
+        e = feed.read_journal(spark, f"{base}/events", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema), files_per_batch=1)
+        out = feed.stream_fold(_entries_of(e), f"{base}/fold")
+    return out.select("id", "seq")
+
+
 def stream_ivf_maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ridgevec.streaming import feed
 
@@ -674,8 +693,9 @@ def stream_ivf_maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.stream_lists(_event_stream(spark, sf_dir).join(v, "vec_id"), _index(spark, sf_dir))
 
 
-QUERIES |= {"stream_fold": stream_fold, "stream_ivf_maintenance": stream_ivf_maintenance}
+QUERIES |= {"stream_fold": stream_fold, "stream_restart": stream_restart, "stream_ivf_maintenance": stream_ivf_maintenance}
 SQL |= {
+    "stream_restart": f"WITH {_JOURNAL}, {_fold_sql('j')} SELECT id, seq FROM f WHERE op = 'upsert'",
     "stream_fold": f"WITH {_JOURNAL}, {_fold_sql('j')} SELECT id, seq FROM f WHERE op = 'upsert'",
     "stream_ivf_maintenance": f"WITH {corpus_sql()}, {_LISTS}, {_JOURNAL}, {_fold_sql('j')} SELECT f.id, list_id FROM f JOIN asg ON v = internal_id WHERE op = 'upsert'",
 }

@@ -288,6 +288,23 @@ def test_streams_equal_batches(spark, tmp_path):
     assert {(r["id"], r["list_id"]) for r in feed.stream_lists(stream(), i).collect()} == lists
 
 
+@pytest.mark.parametrize("compact", [2, 50])
+def test_streams_go_on_from_a_checkpoint(spark, tmp_path, monkeypatch, compact):
+    monkeypatch.setattr(feed, "COMPACT", compact)
+    rng = np.random.default_rng(3)
+    x = vectors(30, 8, 4)
+    rows = [(int(s), "delete" if rng.random() < 0.2 else "upsert", f"k{rng.integers(12)}", x[rng.integers(30)].tolist(), None) for s in rng.permutation(200)]
+    i = ivf.given(x[:6], "dot")
+    for part in range(3):
+        entries(spark, rows[part::3]).repartition(3).write.mode("append").parquet(str(tmp_path / "j"))
+        stream = feed.read_journal(spark, str(tmp_path / "j"), ENTRY, files_per_batch=1)
+        live = store.live(entries(spark, [r for p in range(part + 1) for r in rows[p::3]]))
+        got = {(r["id"], r["seq"]) for r in feed.stream_fold(stream, f"file://{tmp_path}/f").collect()}
+        assert got == {(r["id"], r["seq"]) for r in live.collect()}
+        got = {(r["id"], r["list_id"]) for r in feed.stream_lists(stream, i, f"file://{tmp_path}/l").collect()}
+        assert got == {(r["id"], r["list_id"]) for r in ivf.assign(live.select("id", "vec"), i).collect()}
+
+
 # -- facades ------------------------------------------------------------------
 
 
