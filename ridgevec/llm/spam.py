@@ -5,14 +5,16 @@ document counts of the whole corpus; texts of the same words count once and a
 document's own occurrence is taken out, so neither a page nor its copies can
 vouch for it. PMI above zero counts as zero: nothing makes up for salad beside it.
 A word of a collocation (with a neighbour or the next but one) that the page
-repeats ``REPEATS`` times counts as unattested, whoever else has it: markup,
+repeats (``REPEATS`` times, once less in a page of up to ``SHORT`` words) counts
+as unattested, whoever else has it: markup,
 addresses and menu entries are coherent elsewhere, but speech doesn't repeat
 itself so. The mean is taken over a window of ``REACH`` words to each side. A
 word is incoherent where it is at most ``INCOHERENT`` and words that come back
 make up ``RECURRING`` of the window; names in a division list fit no neighbour,
 but don't come back. A page is suspect if more than half of its words are
-incoherent, and no other page can be a case. Measured on 21,000 documents: all
-869 cases are suspect, by 0.70 of their words at least, and 19 % of the others.
+incoherent, and no other page can be a case. Measured on 100,000 documents: all
+3,997 pages that the check alone would find are suspect, by
+0.65 of their words at least, and 41 % of the others.
 
 Suspect pages are then checked word by word. A word that fits neither neighbour
 and keeps coming back in such places is a stuffed keyword. Different pages with
@@ -49,7 +51,7 @@ from ridgevec.session import table, written
 RARE, LEAST_DOCS = 1.5e-6, 2
 UNATTESTED, UNFIT = -6.0, -1.0
 REPEATS, REACH, DENSE, CASE = 3, 8, 0.3, 0.5
-INCOHERENT, RECURRING = -3.0, 0.2
+INCOHERENT, RECURRING, SHORT = -2.75, 0.2, 120
 ENTRY_WORDS, RUN = 8, 5
 #: Words of a stretch and of the shortest one, the part of them that words coming
 #: back must make up, and the distinct pairs there of each such word.
@@ -296,10 +298,10 @@ def smoothed(x: np.ndarray) -> np.ndarray:
     return (total[high] - total[low]) / (high - low)
 
 
-def often(keys: np.ndarray) -> np.ndarray:
-    """Which keys come at least ``REPEATS`` times."""
+def often(keys: np.ndarray, times: int) -> np.ndarray:
+    """Which keys come at least so many times."""
     ordered = np.sort(keys)
-    back = ordered[REPEATS - 1 :]
+    back = ordered[times - 1 :]
     back = back[back == ordered[: len(back)]]
     if not len(back):
         return np.zeros(len(keys), bool)
@@ -308,9 +310,14 @@ def often(keys: np.ndarray) -> np.ndarray:
     return back[at] == keys
 
 
+def repeats(h: np.ndarray) -> int:
+    """Times that something has to come in a text of this length to be repeated."""
+    return REPEATS if len(h) > SHORT else REPEATS - 1
+
+
 def recurring(h: np.ndarray) -> np.ndarray:
     """Words of windows where words come back."""
-    return smoothed(often(h)) >= RECURRING
+    return smoothed(often(h, repeats(h))) >= RECURRING
 
 
 def incoherent(h: np.ndarray, value: np.ndarray, back: np.ndarray) -> float:
@@ -318,7 +325,7 @@ def incoherent(h: np.ndarray, value: np.ndarray, back: np.ndarray) -> float:
     padded = np.concatenate([[UNATTESTED], np.minimum(value, 0), [UNATTESTED]])
     word = (padded[:-1] + padded[1:]) / 2
     for gap in (1, 2):
-        again = often(joined(h[:-gap], h[gap:]))
+        again = often(joined(h[:-gap], h[gap:]), repeats(h))
         word[:-gap][again] = UNATTESTED
         word[gap:][again] = UNATTESTED
     return float((back & (smoothed(word) <= INCOHERENT)).mean())

@@ -222,11 +222,26 @@ def test_cases_are_suspect_by_their_mean_pmi(spark, monkeypatch):
     """Without any look at forms, keyword pages and lists come out as suspect,
     and a division list doesn't."""
     rows, bad, good = corpus()
+    good = [*good, (2010, "The sitting is open. Ayes 150: " + ", ".join(f"Name{7 * i} Other{i}" for i in range(150)))]
     monkeypatch.setattr(spam, "marks", lambda text, n: None)
     part = {r["doc_id"]: r["incoherent"] for r in spam.scores(docs(spark, rows + bad + good)).collect()}
     assert all(part[i] > spam.CASE for i, _ in bad)
-    assert part[2000] <= spam.CASE
-    assert sum(part[i] > spam.CASE for i, _ in rows) < 0.6 * len(rows)  # so few words come back a lot
+    assert part[2010] <= spam.CASE
+    # speech with more words to it: each is followed by one of three
+    rng = random.Random(8)
+    after = {i: [rng.randrange(900) for _ in range(3)] for i in range(900)}
+
+    def talk(n, at):
+        out = []
+        for _ in range(n):
+            out.append(f"say{at}")
+            at = rng.choice(after[at])
+        return " ".join(out) + "."
+
+    plain = [(i, talk(160, rng.randrange(900))) for i in range(300)]
+    part = {r["doc_id"]: r["incoherent"] for r in spam.scores(docs(spark, plain + bad)).collect()}
+    assert all(part[i] > spam.CASE for i, _ in bad)
+    assert sum(part[i] > spam.CASE for i, _ in plain) <= 0.05 * len(plain)
 
 
 def found(df):
