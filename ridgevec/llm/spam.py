@@ -12,9 +12,10 @@ itself so. The mean is taken over a window of ``REACH`` words to each side. A
 word is incoherent where it is at most ``INCOHERENT`` and words that come back
 make up ``RECURRING`` of the window; names in a division list fit no neighbour,
 but don't come back. A page is suspect if more than half of its words are
-incoherent, and no other page can be a case. Measured on 100,000 documents: all
-3,997 pages that the check alone would find are suspect, by
-0.65 of their words at least, and 41 % of the others.
+incoherent, and no other page can be a case. On the 100,000 documents that the
+settings were last chosen on, all 3,997 pages that the check alone finds are
+suspect, by 0.65 of their words at least; of 30,000 of them 41 % of the other
+pages are.
 
 Suspect pages are then checked word by word. A word that fits neither neighbour
 and keeps coming back in such places is a stuffed keyword. Different pages with
